@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import frequency, nearcopies, sitelines, split
+from corpuslens.llm import frequency, mixture, nearcopies, sitelines, split, tokens
 from corpuslens.llm.oracle import SQL  # noqa: F401
 from corpuslens.sources.tables import table
 
@@ -45,4 +45,21 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return nearcopies.similar_pairs(table(spark, root, "documents_okf"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_term_frequencies, p6_found, p6_templates, p6_cleaned, p7_found)}
+def p7_groups(spark: SparkSession, root: str) -> DataFrame:
+    links, members = nearcopies.similar_classes(table(spark, root, "documents_okf"))
+    return nearcopies.groups(links, members)
+
+
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return tokens.token_ids(table(spark, root, "documents"))
+
+
+def p9_mixture(spark: SparkSession, root: str) -> DataFrame:
+    return mixture.mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, root: str) -> DataFrame:
+    return mixture.mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_term_frequencies, p6_found, p6_templates, p6_cleaned, p7_found, p7_groups, p8_ids, p9_mixture, p9_report)}
