@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import frequency, mixture, nearcopies, sitelines, split, tokens
+from corpuslens.llm import encoding, frequency, mixture, nearcopies, sitelines, split, tokens
 from corpuslens.llm.oracle import SQL  # noqa: F401
 from corpuslens.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return encoding.garbled(table(spark, root, "documents_okf"))
+
+
+def p1_restored(spark: SparkSession, root: str) -> DataFrame:
+    return encoding.restored(table(spark, root, "documents_okf"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return split.oversized(table(spark, root, "chunks"))
 
@@ -62,4 +70,4 @@ def p9_report(spark: SparkSession, root: str) -> DataFrame:
     return mixture.mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_term_frequencies, p6_found, p6_templates, p6_cleaned, p7_found, p7_groups, p8_ids, p9_mixture, p9_report)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_pieces, p4_found, p4_term_frequencies, p6_found, p6_templates, p6_cleaned, p7_found, p7_groups, p8_ids, p9_mixture, p9_report)}
