@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import encoding, frequency, mixture, nearcopies, sitelines, split, tokens
+from corpuslens.llm import abuse, encoding, frequency, mixture, nearcopies, sitelines, split, tokens
 from corpuslens.llm.oracle import SQL  # noqa: F401
 from corpuslens.sources.tables import table
 
@@ -70,4 +70,19 @@ def p9_report(spark: SparkSession, root: str) -> DataFrame:
     return mixture.mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_pieces, p4_found, p4_term_frequencies, p6_found, p6_templates, p6_cleaned, p7_found, p7_groups, p8_ids, p9_mixture, p9_report)}
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.abusive(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+def p10_scores(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.scored(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+def p10_source_rates(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.source_rates(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (p1_found, p1_restored, p3_found, p3_pieces, p4_found, p4_term_frequencies, p6_found, p6_templates, p6_cleaned, p7_found, p7_groups, p8_ids, p9_mixture, p9_report, p10_found, p10_scores, p10_source_rates)
+}
