@@ -365,7 +365,7 @@ class Scorer:
         self.reader.words.append("")
         self.tables = self.network.tables(stacked([""]))
 
-    def __call__(self, texts: list[str | None], block: int = 2048) -> np.ndarray:
+    def __call__(self, texts: list[str | None], block: int = 1024) -> np.ndarray:
         if len(self.reader.words) > 400_000 or len(self.reader) > 1_500_000:
             self._fresh()
         read = [windows(self.reader.read(t), 0) if t else np.zeros((1, WINDOW), np.int32) for t in texts]
