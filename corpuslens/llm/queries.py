@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import abuse, encoding, frequency, mixture, nearcopies, sitelines, split, tokens
+from corpuslens.llm import abuse, encoding, frequency, mixture, nearcopies, scans, sitelines, split, tokens
 from corpuslens.llm.oracle import SQL  # noqa: F401
 from corpuslens.sources.tables import table
 
@@ -21,6 +21,14 @@ def p1_restored(spark: SparkSession, root: str) -> DataFrame:
     return encoding.restored(table(spark, root, "documents_okf"))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return scans.noisy(table(spark, root, "documents_okf"), table(spark, root, "chunks"))
+
+
+def p2_repaired(spark: SparkSession, root: str) -> DataFrame:
+    return scans.repaired(table(spark, root, "documents_okf"), table(spark, root, "chunks"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return split.oversized(table(spark, root, "chunks"))
 
@@ -84,5 +92,5 @@ def p10_source_rates(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_restored, p3_found, p3_pieces, p4_found, p4_term_frequencies, p6_found, p6_templates, p6_cleaned, p7_found, p7_groups, p8_ids, p9_mixture, p9_report, p10_found, p10_scores, p10_source_rates)
+    for f in (p1_found, p1_restored, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_term_frequencies, p6_found, p6_templates, p6_cleaned, p7_found, p7_groups, p8_ids, p9_mixture, p9_report, p10_found, p10_scores, p10_source_rates)
 }
