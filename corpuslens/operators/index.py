@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.sources.tables import checkpointed, fresh, shuffle_partitions, spread
+
 #: Positions kept of a term in a document.
 POSITIONS = 16
 
@@ -52,7 +54,7 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", base: str
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(token, pa.string()), pa.array(offset, pa.int64())], names=[key, "i", "token", "offset"])
 
     start = F.coalesce(F.col(base), F.lit(0)).cast("long") if base else F.lit(0).cast("long")
-    return docs.select(key, F.col(text).alias("text"), start.alias("base")).mapInArrow(run, f"`{key}` {kind}, i int, token string, offset long")
+    return spread(docs.select(key, F.col(text).alias("text"), start.alias("base"))).mapInArrow(run, f"`{key}` {kind}, i int, token string, offset long")
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", base: str | None = None, keep: int = POSITIONS) -> DataFrame:
@@ -80,7 +82,7 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", base: str
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), batch.column(key).take(pa.array(owner, pa.int64())), pa.array(freqs, pa.int64()), pa.array(places, pa.list_(pa.int64()))], names=["term", key, "freq", "positions"])
 
     start = F.coalesce(F.col(base), F.lit(0)).cast("long") if base else F.lit(0).cast("long")
-    return docs.select(key, F.col(text).alias("text"), start.alias("base")).mapInArrow(run, f"term string, `{key}` {kind}, freq long, positions array<long>")
+    return spread(docs.select(key, F.col(text).alias("text"), start.alias("base"))).mapInArrow(run, f"term string, `{key}` {kind}, freq long, positions array<long>")
 
 
 def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,7 +93,7 @@ def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(_TOKEN.findall(t)) if t else 0 for t in batch.column("text").to_pylist()], pa.int64())], names=[key, "token_count"])
 
-    return docs.select(key, F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, token_count long")
+    return spread(docs.select(key, F.col(text).alias("text"))).mapInArrow(run, f"`{key}` {kind}, token_count long")
 
 
 def counts(docs: DataFrame, posted: DataFrame) -> DataFrame:
@@ -110,25 +112,26 @@ def next_in_family(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Documents without parent, or whose pages don't begin with a number, are in no family and have null.
     """
-    start = F.expr("try_cast(trim(split_part(pages, '-', 1)) AS INT)")
-    member = F.col("parent").isNotNull() & F.col("_start").isNotNull()
-    docs = docs.withColumn("_start", start)
+    start = fresh(docs, "_start")
+    docs = docs.withColumn(start, F.expr("try_cast(trim(split_part(pages, '-', 1)) AS INT)"))
+    member = F.col("parent").isNotNull() & F.col(start).isNotNull()
     # only members are ordered by family; the others, which may be most, aren't brought together in one null family
-    inside = docs.where(member).withColumn("next_stem", F.lead("stem").over(Window.partitionBy("parent").orderBy("_start", key)))
+    inside = docs.where(member).withColumn("next_stem", F.lead("stem").over(Window.partitionBy("parent").orderBy(start, key)))
     outside = docs.where(~member).withColumn("next_stem", F.lit(None).cast("string"))
-    return inside.unionByName(outside).drop("_start")
+    return inside.unionByName(outside).drop(start)
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", base: str | None = None, partitions: int | None = None) -> None:
-    """Write `docs`, `postings` and `vocab` below `path`.
+    """Write `docs` (with token_count), `postings` and `vocab` below `path`.
 
-    postings are range-partitioned by term and document, so a term of a third of all postings fills many files, and sorted,
+    Texts are read by Python once; what comes of it is kept while the range partitioning samples it. postings are
+    range-partitioned by term and document, so a term of a third of all postings fills many files, and sorted,
     so the files' statistics let a search read only the files of its terms.
     """
-    posted = postings(docs, key, text, base)
-    n = partitions or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    posted.repartitionByRange(n, "term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
     spark = docs.sparkSession
+    posted = checkpointed(postings(docs, key, text, base))
+    n = partitions or shuffle_partitions(spark)
+    posted.repartitionByRange(n, "term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("documents"), F.sum("freq").alias("occurrences")).write.mode("overwrite").parquet(f"{path}/vocab")
-    counted = docs.join(lengths(docs, key, text), key)
-    counted.write.mode("overwrite").parquet(f"{path}/docs")
+    sized = posted.groupBy(key).agg(F.sum("freq").alias("token_count"))  # a document's terms lie side by side
+    docs.join(sized, key, "left").withColumn("token_count", F.coalesce("token_count", F.lit(0))).write.mode("overwrite").parquet(f"{path}/docs")

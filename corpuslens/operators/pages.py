@@ -122,7 +122,7 @@ def select_images(images: DataFrame, least_bytes: int = IMAGE_BYTES, most: int =
 def chunk_images(chunks: DataFrame, images: DataFrame) -> DataFrame:
     """`chunks` with `images`, e.g. `[a, b]`: names on the pages of each chunk, null if there are none.
 
-    The only chunk of a source has all its images. Images on pages of no chunk are in none.
+    The only chunk of a source has all its images. Images on pages of no chunk are in none. A column `images` of chunks is replaced.
     """
     alone = F.count("*").over(Window.partitionBy("source_id")) == 1
     spans = chunks.select("source_id", "chunk_no", "first_page", "last_page", alone.alias("alone"))
@@ -130,4 +130,4 @@ def chunk_images(chunks: DataFrame, images: DataFrame) -> DataFrame:
     found = spans.join(images.where("name IS NOT NULL").select("source_id", "page", "idx", "name"), "source_id").where(inside)
     names = found.groupBy("source_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("page", "idx", "name"))).alias("x"))
     listed = names.select("source_id", "chunk_no", F.concat(F.lit("["), F.array_join(F.transform("x", lambda v: v["name"]), ", "), F.lit("]")).alias("images"))
-    return chunks.join(listed, ["source_id", "chunk_no"], "left")
+    return chunks.drop("images").join(listed, ["source_id", "chunk_no"], "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import ONE_EDIT, PREFIX, PREFIX_EXTRA, matches, query_terms, score
+from corpuslens.functions.text import PREFIX, PREFIX_EXTRA, matches, query_terms, score
 
 #: Hits shown, excerpts of a hit, bytes that count as near, and bytes of an excerpt before and after its anchor.
 HITS, EXCERPTS, NEAR, BEFORE, AFTER = 20, 3, 500, 150, 300
@@ -90,7 +90,7 @@ def excerpts(ranges: DataFrame, texts: DataFrame, key: str = "doc_id", text: str
     """`ranges` with `excerpts`: the ranges' text, cut characters and blanks at the ends trimmed. Only joined rows' texts are read."""
     cut = F.transform(
         "windows",
-        lambda w: F.regexp_replace(F.make_valid_utf8(F.substring(F.col("_bytes"), (w["s"] + 1).cast("int"), (w["e"] - w["s"]).cast("int")).cast("string")), "^[\\s\\u00a0\\ufffd]+|[\\s\\u00a0\\ufffd]+$", ""),
+        lambda w: F.regexp_replace(F.make_valid_utf8(F.substring(F.col("_bytes"), (w["s"] + 1).cast("int"), (w["e"] - w["s"]).cast("int")).cast("string")), r"(?U)^[\s\x{FFFD}]+|[\s\x{FFFD}]+\z", ""),
     )
     return ranges.join(texts.select(key, F.col(text).cast("binary").alias("_bytes")), key).select(*ranges.columns, cut.alias("excerpts"))
 

@@ -17,7 +17,7 @@ from corpuslens.operators.balanced import heavy_terms, term_totals
 from corpuslens.plans import service
 from corpuslens.plans.sql import SQL  # noqa: F401
 from corpuslens.sources import bundle
-from corpuslens.sources.tables import table
+from corpuslens.sources.tables import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,11 @@ def _docs(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "docs").drop("next_stem").distinct()
 
 
+def _posted(spark: SparkSession, root: str) -> DataFrame:
+    """Postings of `documents`, kept while a query reads them for its vocabulary and again for its terms."""
+    return checkpointed(index.postings(table(spark, root, "documents")))
+
+
 def tokenize_documents(spark: SparkSession, root: str) -> DataFrame:
     return index.tokenize(table(spark, root, "documents"))
 
@@ -80,15 +85,19 @@ def _matched(asked: list[str]) -> Query:
 
 def _ranked(queries: dict[int, str]) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        docs = table(spark, root, "documents")
-        posted = index.postings(docs)
-        return search.rank(index.lengths(docs), posted, index.vocabulary(posted), search.terms_frame(spark, queries))
+        docs, posted = table(spark, root, "documents"), _posted(spark, root)
+        return search.rank(_sized(docs, posted), posted, index.vocabulary(posted), search.terms_frame(spark, queries))
 
     return run
 
 
+def _sized(docs: DataFrame, posted: DataFrame) -> DataFrame:
+    counts = posted.groupBy("doc_id").agg(F.sum("freq").alias("token_count"))
+    return docs.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("token_count", F.lit(0)).alias("token_count"))
+
+
 def _slots(spark: SparkSession, root: str) -> DataFrame:
-    posted = index.postings(table(spark, root, "documents"))
+    posted = _posted(spark, root)
     return search.slots(posted, index.vocabulary(posted), search.terms_frame(spark, SEARCHES))
 
 
@@ -117,8 +126,8 @@ def excerpt_text(spark: SparkSession, root: str) -> DataFrame:
 
 def search_top(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
-    posted = index.postings(docs)
-    full = docs.select("doc_id", "text", F.lit(0).alias("body_start")).join(index.lengths(docs), "doc_id")
+    posted = _posted(spark, root)
+    full = docs.select("doc_id", "text", F.lit(0).alias("body_start")).join(_sized(docs, posted), "doc_id")
     hits = search.search(full, posted, index.vocabulary(posted), SEARCHES)
     return hits.select("query_id", "rank", "doc_id", "coverage", "freq", "token_count", "score", F.array_join("excerpts", " | ").alias("excerpts"))
 

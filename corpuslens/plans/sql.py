@@ -71,14 +71,17 @@ def _slots(queries: dict[int, str]) -> str:
     slots AS (SELECT query_id, qi, doc_id, CAST(freq AS BIGINT) AS freq, positions FROM merged JOIN asked USING (q))"""
 
 
-def _rank(queries: dict[int, str]) -> str:
-    return f"""{_slots(queries)},
+_HITS = """
     hits AS (SELECT query_id, doc_id, count(*) AS coverage, CAST(sum(freq) AS BIGINT) AS freq FROM slots GROUP BY ALL),
     ranked AS (
         SELECT query_id, doc_id, coverage, freq, token_count, CAST(freq * 1000 // greatest(token_count, 1) AS BIGINT) AS score FROM hits JOIN sized USING (doc_id)),
     numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, score DESC, doc_id) AS INT) AS rank FROM ranked)"""
 
 
+def _rank(queries: dict[int, str]) -> str:
+    return f"{_slots(queries)}, {_HITS}"
+
+
 _ALL = {1: "Which battery clamp holds the Öl sensor node?", 2: "node node charging map", 3: "zeroo signaal emergancy buttom", 4: "öl 12 amr red the"}
 
 _ANCHORS = f"""{_slots(_ALL)},
@@ -100,6 +103,14 @@ _WINDOWS = f"""{_ANCHORS},
 
 _SPACE = r"[\s\x{0B}\x{85}\p{Z}]"
 
+# bytes of a character cut at either end fall out: continuation bytes in front, an unfinished sequence behind
+_EXCERPTS = rf"""{_WINDOWS},
+    bytes AS (SELECT query_id, doc_id, k, hex(encode(text)[w.s + 1:w.e]) AS h FROM windows JOIN documents USING (doc_id)),
+    whole AS (
+        SELECT query_id, doc_id, k, decode(unhex(regexp_replace(regexp_replace(h, '^(?:[89AB][0-9A-F])+', ''),
+               '(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-9A-F](?:[89AB][0-9A-F]){{0,2}})$', ''))) AS x FROM bytes),
+    excerpts AS (SELECT query_id, doc_id, k, regexp_replace(regexp_replace(x, '^(?:{_SPACE}|\x{{FFFD}})+', ''), '(?:{_SPACE}|\x{{FFFD}})+$', '') AS excerpt FROM whole)"""
+
 _PAGES = r"""
     raw AS (SELECT DISTINCT source_id || '#' || chunk_no AS source_id, text FROM chunks WHERE source_id IS NOT NULL AND chunk_no IS NOT NULL),
     split AS (SELECT source_id, string_split(text, chr(12)) AS p FROM raw WHERE text IS NOT NULL),
@@ -189,6 +200,11 @@ SQL: dict[str, str] = {
     "search_slots": f"{_slots(_ALL)} SELECT query_id, qi, doc_id, freq, array_to_string(positions, ' ') AS positions FROM slots",
     "proximity_anchors": f"{_ANCHORS} SELECT query_id, doc_id, k, p, near FROM anchors",
     "excerpt_windows": f"{_WINDOWS} SELECT query_id, doc_id, k, w.s AS s, w.e AS e FROM windows",
+    "excerpt_text": f"{_EXCERPTS} SELECT query_id, doc_id, k, excerpt FROM excerpts",
+    "search_top": f"""{_EXCERPTS},
+        {_HITS},
+        shown AS (SELECT query_id, doc_id, string_agg(excerpt, ' | ' ORDER BY k) AS excerpts FROM excerpts GROUP BY ALL)
+        SELECT query_id, rank, doc_id, coverage, freq, token_count, score, excerpts FROM numbered JOIN shown USING (query_id, doc_id) WHERE rank <= 20""",
     "stopword_filter": f"""
         WITH {_META} SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains({_STOP}, w)), ' ') AS terms
         FROM meta WHERE title IS NOT NULL""",

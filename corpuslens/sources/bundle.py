@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import header_field, safe_name, slug
+from corpuslens.sources.tables import fresh
 
 #: Value of a header's field where the field is missing; title takes the stem.
 DEFAULT_TYPE = "uncategorised"
@@ -95,16 +96,17 @@ def name_chunks(chunks: DataFrame) -> DataFrame:
     """
     alone = F.count("*").over(Window.partitionBy("source_id")) == 1
     s = slug("stem")
-    rows = chunks.withColumn("_alone", alone).withColumn("_base", F.when(F.col("_alone"), s).otherwise(F.concat(s, F.format_string("-p%03d-%03d", "first_page", "last_page"))))
-    nth = F.row_number().over(Window.partitionBy("_base", "source_id").orderBy("chunk_no"))
+    _alone, _base, _n = (fresh(chunks, c) for c in ("_alone", "_base", "_n"))
+    rows = chunks.withColumn(_alone, alone).withColumn(_base, F.when(F.col(_alone), s).otherwise(F.concat(s, F.format_string("-p%03d-%03d", "first_page", "last_page"))))
+    nth = F.row_number().over(Window.partitionBy(_base, "source_id").orderBy("chunk_no"))
     span = F.concat(F.col("first_page").cast("string"), F.lit("-"), F.col("last_page").cast("string"))
     return (
-        rows.withColumn("_n", nth)
-        .withColumn("name", F.when(F.col("_n") > 1, F.concat("_base", F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col("_base")))
-        .withColumn("title", F.when(F.col("_alone"), F.col("stem")).otherwise(F.concat("stem", F.lit(" (pages "), span, F.lit(")"))))
-        .withColumn("parent", F.when(~F.col("_alone"), s))
-        .withColumn("pages", F.when(~F.col("_alone"), span))
-        .drop("_alone", "_base", "_n")
+        rows.withColumn(_n, nth)
+        .withColumn("name", F.when(F.col(_n) > 1, F.concat(_base, F.lit("-"), F.col(_n).cast("string"))).otherwise(F.col(_base)))
+        .withColumn("title", F.when(F.col(_alone), F.col("stem")).otherwise(F.concat("stem", F.lit(" (pages "), span, F.lit(")"))))
+        .withColumn("parent", F.when(~F.col(_alone), s))
+        .withColumn("pages", F.when(~F.col(_alone), span))
+        .drop(_alone, _base, _n)
     )
 
 

@@ -29,3 +29,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which follows the size of the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column of `df` has; for columns that are dropped again."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores if it comes in fewer than half as many partitions, as a small table in one file does.
+
+    Costly Python work on texts follows. Larger tables come in more partitions and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
