@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.sources.tables import spread
+
 #: Words of a window, and words from one window's begin to the next.
 WINDOW, STRIDE = 24, 16
 #: Width of word vectors and of each direction's state; rows of the two tables of vectors.
@@ -416,7 +418,7 @@ def scored(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
                 part = batch.slice(at, 1024)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(score(part.column("text").to_pylist()).astype(np.float64))], names=["doc_id", "source", "score"])
 
-    return documents.selectExpr("cast(doc_id AS BIGINT) AS doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, score double")
+    return spread(documents.selectExpr("cast(doc_id AS BIGINT) AS doc_id", "source", "text")).mapInArrow(run, "doc_id long, source string, score double")
 
 
 def abusive(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

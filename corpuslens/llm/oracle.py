@@ -23,9 +23,32 @@ _SITES = """
     lines AS (
         SELECT path, site, lower(trim(regexp_replace(unnest(string_split(body, chr(10))), '[\\s\\p{Z}\\x{0B}\\x{85}]+', ' ', 'g'))) AS line FROM sited WHERE site IS NOT NULL)"""
 
+_NEAR = """
+    WITH texts AS (SELECT DISTINCT path, coalesce(title, '') || ' ' || coalesce(decode(encode(content)[coalesce(body_start, 0) + 1:]), '') AS t FROM documents_okf WHERE path IS NOT NULL),
+    words AS (SELECT path, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM texts),
+    runs AS (SELECT DISTINCT path, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM words),
+    sizes AS (SELECT path, count(*) AS n FROM runs GROUP BY 1),
+    shared AS (SELECT a.path AS path_a, b.path AS path_b, count(*) AS c FROM runs a JOIN runs b ON a.s = b.s AND a.path < b.path GROUP BY ALL)
+    SELECT path_a, path_b FROM shared JOIN sizes x ON x.path = path_a JOIN sizes y ON y.path = path_b WHERE c >= 0.6 * (x.n + y.n - c)"""
+
+_REPEATED = f"""{_SITES},
+    counted AS (SELECT site, line, count(DISTINCT path) AS docs FROM lines WHERE length(line) >= 30 GROUP BY ALL)"""
+
 SQL: dict[str, str] = {
     "p3_found": "SELECT DISTINCT source_id, chunk_no FROM chunks WHERE strlen(text) > 8192",
     "p4_found": f"{_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_term_frequencies": f"{_TERMS} SELECT term, occurrences, documents, mark FROM marked",
+    "p6_templates": f"""{_REPEATED}
+        SELECT site, regexp_replace(line, '\\S*[0-9]\\S*', '<*>', 'g') AS template, count(*) AS lines, CAST(sum(docs) AS BIGINT) AS docs FROM counted GROUP BY 1, 2 HAVING sum(docs) >= 6""",
+    "p6_cleaned": f"""{_REPEATED},
+        latest AS (SELECT path, site, body, row_number() OVER (PARTITION BY path ORDER BY 1) AS r FROM (SELECT DISTINCT path, site, body FROM sited)),
+        heads AS (SELECT path, any_value(content) AS content, any_value(decode(encode(content)[1:coalesce(body_start, 0)])) AS head FROM documents_okf GROUP BY 1),
+        cut AS (SELECT path, site, unnest(string_split(body, chr(10))) AS raw, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM latest WHERE r = 1),
+        normal AS (SELECT *, lower(trim(regexp_replace(raw, '[\\s\\p{{Z}}\\x{{0B}}\\x{{85}}]+', ' ', 'g'))) AS line FROM cut),
+        kept AS (SELECT n.*, c.docs IS NULL AS keep FROM normal n LEFT JOIN (SELECT * FROM counted WHERE docs >= 6) c ON n.site = c.site AND n.line = c.line),
+        joined AS (SELECT path, site, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (keep), '') AS body, count(*) FILTER (NOT keep) AS removed FROM kept GROUP BY ALL)
+        SELECT path, coalesce(j.site, l.site) AS site, CASE WHEN content IS NOT NULL THEN head || j.body END AS content, CAST(coalesce(removed, 0) AS INT) AS removed
+        FROM latest l LEFT JOIN joined j USING (path) LEFT JOIN heads USING (path) WHERE l.r = 1""",
+    "p7_found": _NEAR,
     "p6_found": f"{_SITES} SELECT site, line FROM lines WHERE length(line) >= 30 GROUP BY ALL HAVING count(DISTINCT path) >= 6",
 }

@@ -11,6 +11,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from corpuslens.sources.tables import spread
+
 #: Where the public vocabularies lie; a parameter of every operator here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -143,7 +145,7 @@ def token_ids(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 ends.append(len(flat))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=["doc_id", "ids"])
 
-    return documents.selectExpr("cast(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.selectExpr("cast(doc_id AS BIGINT) AS doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def with_token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -158,4 +160,4 @@ def with_token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> Dat
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(counts, pa.int64())], names=[*others, "n_tokens"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name != "text")
-    return documents.mapInArrow(run, f"{fields}, n_tokens long")
+    return spread(documents).mapInArrow(run, f"{fields}, n_tokens long")
