@@ -73,9 +73,9 @@ def score(freq: Column, tokens: Column) -> Column:
     return F.floor(freq * 1000 / F.greatest(tokens, F.lit(1))).cast("long")
 
 
-def pages_start(pages: Column | str) -> Column:
-    """First page of a range such as `3-8`; null if it isn't a number."""
-    return F.expr("try_cast(trim(split_part({0}, '-', 1)) AS INT)".format(pages if isinstance(pages, str) else pages._jc.toString()))
+def pages_start(pages: str) -> Column:
+    """First page of a column of ranges such as `3-8`; null if it isn't a number."""
+    return F.expr(f"try_cast(trim(split_part({pages}, '-', 1)) AS INT)")
 
 
 def header_field(block: Column | str, name: str) -> Column:
@@ -85,7 +85,7 @@ def header_field(block: Column | str, name: str) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """Terms of a query: lower-cased, cut at what is no letter or digit, without stop words; repeated terms stay."""
-    import regex
+    import regex  # only where queries are parsed
 
     return [t for t in regex.findall(r"[\p{Alphabetic}\p{N}]+", query.lower()) if t not in STOP_WORDS]
 

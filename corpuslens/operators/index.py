@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions.text import pages_start
 from corpuslens.sources.tables import checkpointed, fresh, shuffle_partitions, spread
 
 #: Positions kept of a term in a document.
@@ -113,7 +114,7 @@ def next_in_family(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Documents without parent, or whose pages don't begin with a number, are in no family and have null.
     """
     start = fresh(docs, "_start")
-    docs = docs.withColumn(start, F.expr("try_cast(trim(split_part(pages, '-', 1)) AS INT)"))
+    docs = docs.withColumn(start, pages_start("pages"))
     member = F.col("parent").isNotNull() & F.col(start).isNotNull()
     # only members are ordered by family; the others, which may be most, aren't brought together in one null family
     inside = docs.where(member).withColumn("next_stem", F.lead("stem").over(Window.partitionBy("parent").orderBy(start, key)))
