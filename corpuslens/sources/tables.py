@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -26,6 +27,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fewer(df: DataFrame, of: int = 4) -> DataFrame:
+    """`df` in a quarter of its partitions, though in no fewer than there are cores: rows much narrower than those they were made from need fewer files."""
+    n, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(cores, n // of)) if n > cores else df
+
+
+def checked_broadcast(small: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """`small` marked for broadcast if it has at most so many rows, which are counted; else as it is, for a join by shuffle.
+
+    For narrow rows that have been written out already, so that counting them costs little.
+    """
+    return F.broadcast(small) if small.limit(most_rows + 1).count() <= most_rows else small
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which follows the size of the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
