@@ -55,7 +55,7 @@ def within_typo(word: Column, term: Column) -> Column:
     size = F.octet_length(term)
     most = F.when(size <= ONE_EDIT, 1).otherwise(2)
     near = F.abs(F.octet_length(word) - size) <= most
-    return (size > SHORT) & near & (F.levenshtein(word, term) <= most)
+    return (size > SHORT) & near & (F.call_function("levenshtein", word, term, most) >= 0)  # -1 as soon as it has more
 
 
 def matches(word: Column, term: Column) -> Column:

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import PREFIX, PREFIX_EXTRA, matches, query_terms, score
+from corpuslens.sources.tables import checked_broadcast, settled
 
 #: Hits shown, excerpts of a hit, bytes that count as near, and bytes of an excerpt before and after its anchor.
 HITS, EXCERPTS, NEAR, BEFORE, AFTER = 20, 3, 500, 150, 300
+#: Words that answer a search up to which they are kept by the driver and filter the files of postings.
+MATCHES = 5000
 
 
 def terms_frame(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
     """`query_id, qi, q`: the terms of each query in order; repeated terms are slots of their own."""
     rows = [(k, i, t) for k, q in queries.items() for i, t in enumerate(query_terms(q))]
-    return spark.createDataFrame(rows, "query_id long, qi int, q string")
+    kinds = (("query_id", pa.int64()), ("qi", pa.int32()), ("q", pa.string()))
+    return spark.createDataFrame(pa.table([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], names=[name for name, _ in kinds]))
 
 
 def match_terms(vocab: DataFrame, terms: DataFrame) -> DataFrame:
@@ -36,19 +41,22 @@ def match_terms(vocab: DataFrame, terms: DataFrame) -> DataFrame:
     return short.unionByName(prefix).unionByName(vocab.select(F.explode(hits).alias("q"), "term"))
 
 
-def slots(posted: DataFrame, vocab: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`query_id, qi, <key>, freq, positions`: for each slot of a query, what its matched words have in each document."""
-    found = match_terms(vocab, terms)
+def slots(posted: DataFrame, vocab: DataFrame, terms: DataFrame, key: str = "doc_id", found: DataFrame | None = None) -> DataFrame:
+    """`query_id, qi, <key>, freq, positions`: for each slot of a query, what its matched words have in each document.
+
+    `found` is what match_terms gave, if it is at hand.
+    """
+    found = match_terms(vocab, terms) if found is None else found
     merged = posted.join(found, "term").groupBy("q", key).agg(F.sum("freq").alias("freq"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
     return merged.join(terms, "q").select("query_id", "qi", key, "freq", "positions")
 
 
-def rank(docs: DataFrame, posted: DataFrame, vocab: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+def rank(docs: DataFrame, posted: DataFrame, vocab: DataFrame, terms: DataFrame, key: str = "doc_id", found: DataFrame | None = None) -> DataFrame:
     """`query_id, rank, <key>, coverage, freq, token_count, score` of every document with any term.
 
     Coverage, the number of slots with a match, goes first, then the score, then the key.
     """
-    found = match_terms(vocab, terms)
+    found = match_terms(vocab, terms) if found is None else found
     per_term = posted.select("term", key, "freq").join(found, "term").groupBy("q", key).agg(F.sum("freq").alias("freq"))
     per_doc = per_term.join(terms, "q").groupBy("query_id", key).agg(F.count("*").alias("coverage"), F.sum("freq").alias("freq"))
     hits = per_doc.join(docs.select(key, "token_count"), key).withColumn("score", score(F.col("freq"), F.col("token_count")))
@@ -56,9 +64,9 @@ def rank(docs: DataFrame, posted: DataFrame, vocab: DataFrame, terms: DataFrame,
     return hits.select("query_id", F.row_number().over(order).alias("rank"), key, "coverage", "freq", "token_count", "score")
 
 
-def top_hits(docs: DataFrame, posted: DataFrame, vocab: DataFrame, terms: DataFrame, key: str = "doc_id", hits: int = HITS) -> DataFrame:
+def top_hits(docs: DataFrame, posted: DataFrame, vocab: DataFrame, terms: DataFrame, key: str = "doc_id", hits: int = HITS, found: DataFrame | None = None) -> DataFrame:
     """The first `hits` of each query; Spark keeps only so many of each while it sorts."""
-    return rank(docs, posted, vocab, terms, key).where(F.col("rank") <= hits)
+    return rank(docs, posted, vocab, terms, key, found).where(F.col("rank") <= hits)
 
 
 def anchors(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -101,9 +109,17 @@ def search(docs: DataFrame, posted: DataFrame, vocab: DataFrame, queries: dict[i
     The best hits are found from counts alone; positions and texts are read for them only. A query without terms has no hit.
     """
     terms = terms_frame(docs.sparkSession, queries)
-    best = top_hits(docs, posted, vocab, terms, key, hits)
-    wanted = best.select(key).distinct()
-    found = slots(posted.join(wanted, key, "left_semi"), vocab, terms, key).join(best.select("query_id", key), ["query_id", key], "left_semi")
+    matched = settled(match_terms(vocab, terms), MATCHES)
+    near = posted.where(F.col("term").isin(words)) if (words := _listed(matched)) is not None else posted
+    best = settled(top_hits(docs, near, vocab, terms, key, hits, matched), 1000 * HITS)
+    wanted = checked_broadcast(best.select(key).distinct())
+    found = slots(near.join(wanted, key, "left_semi"), vocab, terms, key, matched).join(best.select("query_id", key), ["query_id", key], "left_semi")
     ranges = windows(anchors(found, key), docs, key, text_start)
     read = excerpts(ranges, docs.join(wanted, key, "left_semi"), key, text)
     return best.join(read, ["query_id", key])
+
+
+def _listed(matched: DataFrame) -> list[str] | None:
+    """The different words of `matched` for a filter that reaches the files, or null if they are many."""
+    rows = matched.select("term").distinct().limit(MATCHES + 1).collect()
+    return sorted(r["term"] for r in rows) if len(rows) <= MATCHES else None

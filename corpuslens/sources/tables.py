@@ -27,6 +27,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, most_rows: int) -> DataFrame:
+    """`df` computed once: as rows of the driver if there are at most so many, else written out by `checkpointed`."""
+    rows = df.limit(most_rows + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= most_rows else checkpointed(df)
+
+
 def fewer(df: DataFrame, of: int = 4) -> DataFrame:
     """`df` in a quarter of its partitions, though in no fewer than there are cores: rows much narrower than those they were made from need fewer files."""
     n, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
