@@ -21,18 +21,34 @@ WIDTH, STATE, ROWS = 16, 16, 1 << 14
 #: Labelled documents that are read for training at most.
 MAX_LABELLED = 6000
 #: Score from which a document counts as abusive.
-THRESHOLD = 0.9
-
-#: Stems that mark a word as possibly abusive; whether it is, the network tells from the words around it.
-STEMS = {
-    "en": "fuck shit bitch cunt asshole arsehole dick cock pussy whore slut bastard wank twat moron idiot scum vermin retard nigger faggot blowjob porn nude naked tits horny cum kill stab hang rape burn die stupid dumb ugly filthy cripple gay",
-    "de": "arsch fick hure fotze wichser schlampe missgeburt idiot vollidiot fresse verpiss ungeziefer schwuchtel schwul titten schwanz nackt abstechen umbringen verrecke pack krüppel drecksau",
-    "fr": "putain pute merde connard connasse salope enculé con baise bite nique pédé suce crever vermine gueule nue chienne bâtard tuer noyer",
-    "es": "puta puto mierda gilipollas cabrón zorra maricón maricones joder follar polla coño desnuda matar plaga muérete imbécil hijoputa",
-    "pl": "kurwa chuj pizda skurwiel skurwysyn jebać jebany pierdol spierdalaj dziwka pedał pedały śmieciu robactwo suka zabić cycki",
+THRESHOLD = 0.7
+
+#: Stems of words that are abusive in nearly any use, and of words that have a harmless use as well. They only
+#: mark a word for the network, which tells from the words around it and the labels.
+EXPLICIT = {
+    "en": "fuck shit bitch cunt asshole arsehole dickhead pussy whore slut wanker twat retard nigger faggot blowjob porn nude tits cum scum vermin moron filthy ugly stupid",
+    "de": "arschloch ficken fotze wichser schlampe missgeburt vollidiot fresse verpiss ungeziefer schwuchtel schwulen titten abstechen verrecke krüppel drecksau hure",
+    "fr": "putain pute merde connard connasse salope enculé pédé crever vermine gueule bâtard baiser niquer",
+    "es": "puta puto mierda gilipollas cabrón zorra maricón maricones follar muérete imbécil hijoputa desnuda",
+    "pl": "kurwa chuj pizda skurwiel skurwysyn jebać jebany pierdol spierdalaj dziwka pedały śmieciu robactwo cycki",
 }
-_LONG = tuple(s for v in STEMS.values() for s in v.split() if len(s) >= 5)
-_WHOLE = frozenset(s for v in STEMS.values() for s in v.split())
+AMBIGUOUS = {
+    "en": "dick cock bastard idiot naked horny kill stab hang rape burn dumb cripple gay",
+    "de": "arsch idiot schwanz nackt umbringen pack",
+    "fr": "bite suce nue chienne tuer noyer",
+    "es": "joder polla coño matar plaga",
+    "pl": "suka zabić pedał",
+}
+
+
+def _stems(of: dict[str, str]) -> tuple[frozenset[str], tuple[str, ...]]:
+    """Whole words, and stems long enough to begin longer words."""
+    words = [s for v in of.values() for s in v.split()]
+    return frozenset(words), tuple(s for s in words if len(s) >= 6)
+
+
+_CLEAR, _CLEAR_STEMS = _stems(EXPLICIT)
+_MIXED, _MIXED_STEMS = _stems(AMBIGUOUS)
 
 _INVISIBLE = re.compile("[\xad​-‏⁠-⁤﻿]+")
 _SPELT = re.compile(r"(?<![^\W_])(?:[^\W_](?:\.| |-|_|\*| \. )){2,}[^\W_](?![^\W_])")
@@ -60,12 +76,14 @@ class Reader(dict):
         if plain.isdigit():
             return "0"
         for spelt in (token.translate(_LOOKALIKE), token.replace("1", "l").translate(_LOOKALIKE)):
-            if spelt in self.known or spelt in _WHOLE or (not spelt.isdigit() and flag(spelt)):
+            if spelt in self.known or (not spelt.isdigit() and flag(spelt)):
                 return spelt
         return "0a"
 
     def __missing__(self, token: str) -> int:
         word = self.canonical(token)
+        if word not in self.known and (mark := flag(word)):
+            word = chr(mark)
         row = self.get(word) if word != token else None
         if row is None:
             row = len(self.words)
@@ -89,12 +107,18 @@ def plain(text: str) -> str:
 
 
 def flag(word: str) -> int:
-    """0 for a usual word, 1 for one with a marked stem, 2 for one with letters masked."""
+    """0 for a usual word, 1 for one that may be harmless, 2 for one with letters masked, 3 for one that hardly is."""
+    if len(word) == 1 and word < "\x04":  # the place of marked words that training hasn't seen
+        return ord(word)
     if "*" in word:
         return 2
-    return int(word in _WHOLE or any(word.startswith(s) for s in _LONG))
+    if word in _CLEAR or word.startswith(_CLEAR_STEMS):
+        return 3
+    return int(word in _MIXED or word.startswith(_MIXED_STEMS))
 
 
+#: What a word's flag adds to its log odds while windows are guessed.
+_PRIOR = np.array([0, 1, 3, 4], np.float64)
 _GRAMS = 12
 
 
@@ -132,7 +156,7 @@ class Network:
         self.p = {
             "word": normal(ROWS, d, by=0.1),
             "gram": normal(ROWS, d, by=0.1),
-            "flag": normal(3, d, by=0.3),
+            "flag": normal(4, d, by=0.3),
             **{f"w{k}": normal(d, 3 * h, by=d**-0.5) for k in "fb"},
             **{f"u{k}": normal(h, 3 * h, by=h**-0.5) for k in "fb"},
             **{f"b{k}": np.zeros(3 * h, np.float32) for k in "fb"},
@@ -268,7 +292,8 @@ def stacked(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return word, gram, many, flags
 
 
-def _fit(network: Network, feats, x: np.ndarray, y: np.ndarray, rounds: int, rng: np.random.Generator, blank: int) -> None:
+def _fit(network: Network, feats, x: np.ndarray, y: np.ndarray, rounds: int, rng: np.random.Generator, blank: int, places: np.ndarray) -> None:
+    marks = feats[3]
     weight = np.where(y > 0, min(4.0, max(1.0, 0.3 * (y == 0).sum() / max(1, (y > 0).sum()))), 1.0).astype(np.float32)
     rounds = max(rounds, min(40, 40_000 // max(1, len(x))))  # few windows are seen more often
     for e in range(rounds):
@@ -278,6 +303,8 @@ def _fit(network: Network, feats, x: np.ndarray, y: np.ndarray, rounds: int, rng
             xb = x[b].copy()
             for i in np.flatnonzero((y[b] > 0) & (rng.random(len(b)) < 0.5)):  # when in use, windows begin anywhere
                 xb[i] = np.roll(xb[i], int(rng.integers(-6, 7)))
+            hide = (marks[xb] > 0) & (rng.random(xb.shape) < 0.4)  # so that marked words count that training hasn't seen
+            xb[hide] = places[marks[xb[hide]]]
             xb[(rng.random(xb.shape) < 0.04) & (xb > 0)] = blank
             network.train_step(xb, feats, y[b], weight[b], 0.01 if e < rounds - 1 else 0.003)
 
@@ -297,6 +324,7 @@ def train(labelled: list[tuple[str, int]], seed: int = 1, epochs: int = 4, negat
     reader = Reader(frozenset(w for w, n in counts.items() if n > 1))
     reader.words.append("")  # row 0 is padding
     blank = reader["0a"]
+    places = np.array([0, *(reader[chr(k)] for k in (1, 2, 3))])
     docs = [windows(reader.read(text), 0) for text, _ in labelled]
     y = np.array([label for _, label in labelled], bool)
     feats = stacked(reader.words)
@@ -308,7 +336,7 @@ def train(labelled: list[tuple[str, int]], seed: int = 1, epochs: int = 4, negat
     for w, label in zip(docs, y):
         tally[int(label), np.unique(w)] += 1
     odds = np.log((tally[1] + 0.3) / (y.sum() + 1)) - np.log((tally[0] + 0.3) / ((~y).sum() + 1))
-    odds = np.clip(odds, -2, 4) * (tally.sum(0) > 1) + 2.5 * (feats[3] > 0)
+    odds = np.clip(odds, -2, 4) * (tally.sum(0) > 1) + _PRIOR[feats[3]]
     odds[0] = 0
     every, owner = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     guess = np.sort(odds[every], 1)[:, -4:].sum(1)
@@ -334,7 +362,7 @@ def train(labelled: list[tuple[str, int]], seed: int = 1, epochs: int = 4, negat
         pos, neg = np.flatnonzero(picked & mine), sample(~y[owner] & mine, None, negatives // 2)
         if len(pos):
             at = np.concatenate([pos, neg])
-            _fit(fold, feats, every[at], y[owner[at]].astype(np.float32), epochs - 1, rng, blank)
+            _fit(fold, feats, every[at], y[owner[at]].astype(np.float32), epochs - 1, rng, blank, places)
         score[~mine] = _scores(fold, feats, every[~mine])
     top = np.maximum.reduceat(score, first)
     marked = np.maximum.reduceat(np.where(flagged, score, -99), first)
@@ -344,7 +372,7 @@ def train(labelled: list[tuple[str, int]], seed: int = 1, epochs: int = 4, negat
     picked = y[owner] & trusted[owner] & np.where(top[owner] > 0.5, (score >= top[owner] - 1) & (score > 0.5), picked if small else flagged & best)
     for turn in range(2):
         at = np.concatenate([np.flatnonzero(picked), sample(~y[owner] & trusted[owner], score, negatives)])
-        _fit(network, feats, every[at], y[owner[at]].astype(np.float32), epochs if not turn else 2, rng, blank)
+        _fit(network, feats, every[at], y[owner[at]].astype(np.float32), epochs if not turn else 2, rng, blank, places)
         if not turn:
             score = _scores(network, feats, every)
     return network, reader.known

@@ -14,10 +14,16 @@ from corpuslens.llm import abuse as A
     ],
 )
 def test_reading(text, words):
-    reader = A.Reader(frozenset())
+    reader = A.Reader(frozenset(words))
     assert [reader.words[i] for i in reader.read(text)] == words
 
 
+def test_unseen_marked_words_share_a_place():
+    reader = A.Reader(frozenset(["kill"]))
+    assert [reader.words[i] for i in reader.read("kill Wichser f**k idiot sl*t")] == ["kill", "\x03", "\x02", "\x01", "\x02"]
+    assert [A.flag(w) for w in ("node", "kill", "f*k", "wichser", "plagaizo")] == [0, 1, 2, 3, 0]
+
+
 @pytest.mark.parametrize("n", [0, 1, 23, 24, 25, 40, 41, 1000])
 def test_windows_cover_all_words(n):
     w = A.windows(list(range(1, n + 1)), 0)
