@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +15,14 @@ from pyspark.sql import functions as F
 from corpuslens.llm.bodies import body
 from corpuslens.sources.tables import checked_broadcast, checkpointed, fewer, shuffle_partitions, spread
 
-#: Retained values of a sketch, and how many of them, the smallest, are looked up one by one.
-K, SINGLE = 128, 32
-#: Sketches that hold a value for it to be rare: its inverted list gives all its pairs.
-RARE = 8
-#: Neighbouring retained values that make one key, whose inverted list gives all its pairs whatever their number.
-RUN = 6
+#: Retained values of a sketch.
+K = 128
+#: Sketches whose values are counted for the order of all values; any order gives the same pairs, one by frequency the shortest lists.
+SAMPLE = 8192
 #: Standard deviations below the threshold at which an estimate rejects a pair.
 SLACK = 3.7
+#: Words of 64 bits of sign; two go with every key, the others with keys that are frequent.
+SIGNS = 8
 #: Members up to which a class of exact copies comes out as all its pairs; of larger ones, each member with the first.
 WHOLE_CLASS = 16
 
@@ -65,10 +66,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.empty(0, np.int64)])))
 
 
-def _signs(values: np.ndarray) -> tuple[int, int]:
-    """128 bits whose agreement tells the angle between two sets."""
-    bits = [np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) * 2 >= len(v) for v in (values, (values ^ (values >> np.uint64(32))) * _M1)]
-    return tuple(int(np.packbits(b).view(np.int64)[0]) for b in bits)
+def _signs(values: np.ndarray) -> np.ndarray:
+    """SIGNS words of bits whose agreement tells the angle between two sets."""
+    mixed = np.empty((len(values), SIGNS), np.uint64)
+    v = values
+    for k in range(SIGNS):
+        mixed[:, k] = v
+        v = (v ^ (v >> np.uint64(32))) * _M1
+    bits = np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.uint32) * 2 >= len(values)
+    return np.packbits(bits).view(np.int64)
 
 
 def _sketched(words: int, k: int):
@@ -84,88 +90,146 @@ def _sketched(words: int, k: int):
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([s[0] for s in signs], pa.int64()),
                     pa.array([s[1] for s in signs], pa.int64()),
+                    pa.array([s[2:].tobytes() for s in signs], pa.binary()),
                     _lists([_signed(s[:k]) for s in sets]),
                 ],
-                names=["path", "print", "n", "sign1", "sign2", "sketch"],
+                names=["path", "print", "n", "sign1", "sign2", "signs", "sketch"],
             )
 
     return run
 
 
-def _keys(run_length: int):
-    """`key, id`: the SINGLE smallest values of each sketch as even keys, its runs of neighbouring values as odd ones."""
+def _least(threshold: float, k: int) -> float:
+    """Share of the union's sketch under which a pair is rejected."""
+    return threshold - SLACK * (threshold * (1 - threshold) / k) ** 0.5
+
+
+def _differ(threshold: float, bits: int, few: bool) -> int:
+    """How many of so many bits may differ: the cosine of two sets at the threshold is least for equal sizes; of `few` values up to a quarter of the bits differ."""
+    cosine = 2 * threshold / (1 + threshold)
+    p = max(np.arccos(cosine) / np.pi, 0.25 * few)
+    return int(bits * p + SLACK * (bits * p * (1 - p)) ** 0.5)
+
+
+def _reach(n: np.ndarray, threshold: float, k: int) -> np.ndarray:
+    """How many values of a sketch, in any one order of all values, hold one that each similar sketch has among so many of its own.
+
+    Sketches that share m values share one of the first (size - m + 1) of either. Sets of up to threshold * k values are whole
+    in their sketch, and so are similar ones, and share at least the threshold of their own; other pairs share `_least` of the union's
+    sketch, which is no smaller than either.
+    """
+    size = np.minimum(n, k)
+    need = np.where(n <= threshold * k, np.ceil(threshold * n - 1e-9), np.ceil(_least(threshold, k) * size - 1e-9))
+    return (size - np.maximum(need, 1) + 1).astype(np.int64)
+
+
+def _frequent(sketch: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Values that at least two of about `most` sketches hold, sorted, and in how many of them."""
+    share = most / max(1, sketch.count())
+    some = sketch if share >= 1 else sketch.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    values, counts = np.unique(some.select("sketch").toArrow().column("sketch").combine_chunks().flatten().to_numpy(), return_counts=True)
+    return values[counts > 1], counts[counts > 1]
+
+
+def _keys(shared, threshold: float, k: int):
+    """`key, id, n, sign1, sign2, signs`: of each sketch the values that `_reach` asks for, the rarest first; signs is null for rare ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = shared.value
         for batch in batches:
-            values = batch.column("sketch").flatten().to_numpy().view(np.uint64)
+            values = batch.column("sketch").flatten().to_numpy()
             sizes = batch.column("sketch").value_lengths().to_numpy()
-            n = len(values) - run_length + 1
             owner = np.repeat(np.arange(len(sizes)), sizes)
+            often = np.zeros(len(values), np.int64)
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+                often = np.where(frequent[at] == values, counts[at], 0)
             place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            low = place < SINGLE
-            keys, ids = [values[low] & ~np.uint64(1)], [owner[low]]
-            if n > 0:
-                mixed = values[:n].copy()
-                for k in range(1, run_length):
-                    mixed = (mixed ^ (mixed >> np.uint64(29))) * _M1 + values[k : k + n]
-                mixed = (mixed ^ (mixed >> np.uint64(31))) * _M2
-                inside = owner[:n] == owner[run_length - 1 :]
-                keys.append(mixed[inside] | np.uint64(1))
-                ids.append(owner[:n][inside])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(batch.column("id").to_numpy()[np.concatenate(ids)])], names=["key", "id"])
+            order = np.lexsort((values, often, owner))[place < _reach(batch.column("n").to_numpy(), threshold, k)[owner]]
+            rows = owner[order]
+            signs = batch.column("signs").take(pa.array(rows, mask=often[order] == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(values[order]), *(pa.array(batch.column(c).to_numpy()[rows]) for c in ("id", "n", "sign1", "sign2")), signs], names=["key", "id", "n", "sign1", "sign2", "signs"])
 
     return run
 
 
-def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def _pairs(rare: int, block: int = 1024):
-    """Pairs of the ids of each inverted list; keys come sorted. Lists of even keys longer than `rare` give none."""
+def _pairs(threshold: float, k: int, block: int = 64, wide: int = 4096):
+    """Pairs of the ids of each inverted list that sizes and signs don't reject; keys come sorted. No list is too long."""
+    few = threshold * k
+    first, other = (np.array([_differ(threshold, bits, x) for x in (False, True)], np.int64) for bits in (128, 64 * (SIGNS - 2)))
+    blank = bytes(8 * (SIGNS - 2))
+
+    def likely(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
+        off = np.bitwise_count(x[2] ^ y[2]) + np.bitwise_count(x[3] ^ y[3])
+        small = (x[1] <= few) | (y[1] <= few)
+        return (off <= first[small.astype(np.int8)]) & (x[1] >= threshold * y[1]) & (y[1] >= threshold * x[1]) & (x[0] != y[0])
+
+    def close(own: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        off = np.bitwise_count(own[4][a] ^ own[4][b]).sum(1)
+        keep = off <= other[((own[1][a] <= few) | (own[1][b] <= few)).astype(np.int8)]
+        return own[0][a[keep]], own[0][b[keep]]
+
+    def of_long(own: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        size = len(own[0])
+        for i in range(0, size, block):
+            x = tuple(c[i : i + block, None] for c in own[:4])
+            for j in range(i, size, wide):
+                y = tuple(c[None, j : j + wide] for c in own[:4])
+                a, b = np.nonzero(likely(x, y))
+                later = b + j > a + i
+                yield close(own, a[later] + i, b[later] + j)
+
+    def finished(keys: np.ndarray, columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        out, held = [], 0
+        for at, size in zip(starts[sizes > 64], sizes[sizes > 64]):
+            for pair in of_long(tuple(c[at : at + size] for c in columns)):
+                out.append(pair)
+                held += len(pair[0])
+                if held > 1_000_000:
+                    yield _pair_batch(out)
+                    out, held = [], 0
+        short = np.repeat(sizes <= 64, sizes)
+        keys, columns = keys[short], tuple(c[short] for c in columns)
+        for d in range(1, 64):
+            same = np.flatnonzero(keys[d:] == keys[:-d]) if len(keys) > d else []
+            if not len(same):
+                break
+            same = same[likely(tuple(c[same] for c in columns[:4]), tuple(c[same + d] for c in columns[:4]))]
+            out.append(close(columns, same, same + d))
+        if out:
+            yield _pair_batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held_ids = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def finished(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            sizes = np.diff(np.append(starts, len(keys)))
-            use = (sizes > 1) & (((keys[starts] & 1) == 1) | (sizes <= rare))
-            for at, size in zip(starts[use & (sizes > 64)], sizes[use & (sizes > 64)]):
-                own = ids[at : at + size]
-                for i in range(0, size, block):
-                    for j in range(i, size, block):
-                        a, b = np.meshgrid(own[i : i + block], own[j : j + block], indexing="ij")
-                        keep = a < b if i == j else a != b
-                        yield _pair_batch(a[keep], b[keep])
-            short = np.repeat(use & (sizes <= 64), sizes)
-            keys, ids = keys[short], ids[short]
-            out = []
-            for d in range(1, 64):
-                same = np.flatnonzero(keys[d:] == keys[:-d]) if len(keys) > d else []
-                if not len(same):
-                    break
-                out.append((ids[same], ids[same + d]))
-            if out:
-                yield _pair_batch(*map(np.concatenate, zip(*out)))
-
+        held: list[list[np.ndarray]] = []  # the last list may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.concatenate([held_keys, batch.column("key").to_numpy()])
-            ids = np.concatenate([held_ids, batch.column("id").to_numpy()])
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last list may go on in the next batch
+            signs = pc.fill_null(batch.column("signs"), blank).cast(pa.binary(len(blank)))
+            signs = np.frombuffer(signs.buffers()[1], np.uint64)[signs.offset * (SIGNS - 2) :][: len(signs) * (SIGNS - 2)].reshape(-1, SIGNS - 2)
+            new = [batch.column(c).to_numpy() for c in ("key", "id", "n")] + [batch.column(c).to_numpy().view(np.uint64) for c in ("sign1", "sign2")] + [signs]
+            if held and held[0][0][0] == new[0][-1]:
+                held.append(new)
+                continue
+            keys, *columns = (np.concatenate(c) for c in zip(*held, new))
+            cut = int(np.searchsorted(keys, keys[-1]))
             if cut:
-                yield from finished(keys[:cut], ids[:cut])
-            held_keys, held_ids = keys[cut:], ids[cut:]
-            if len(held_keys) > rare + 1 and not held_keys[0] & 1:
-                held_keys, held_ids = held_keys[: rare + 1], held_ids[: rare + 1]
-        if len(held_keys):
-            yield from finished(held_keys, held_ids)
+                yield from finished(keys[:cut], tuple(c[:cut] for c in columns))
+            held = [[c[cut:] for c in (keys, *columns)]]
+        if held:
+            keys, *columns = (np.concatenate(c) for c in zip(*held))
+            yield from finished(keys, tuple(columns))
 
     return run
 
 
+def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = map(np.concatenate, zip(*found))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
 def _similarities(words: int):
     """`a, b, similarity` of pairs with their texts, by their whole sets."""
 
@@ -188,7 +252,7 @@ def _text(docs: DataFrame) -> DataFrame:
 
 def sketches(docs: DataFrame, words: int = 3, k: int = K) -> DataFrame:
     """`id, path, print, n, sketch` of every row with a path: the k smallest values of its set, and its size."""
-    made = spread(_text(docs)).mapInArrow(_sketched(words, k), "path string, print binary, n int, sign1 long, sign2 long, sketch array<long>")
+    made = spread(_text(docs)).mapInArrow(_sketched(words, k), "path string, print binary, n int, sign1 long, sign2 long, signs binary, sketch array<long>")
     return checkpointed(fewer(made).withColumn("id", F.monotonically_increasing_id()))
 
 
@@ -199,12 +263,11 @@ def similar_classes(docs: DataFrame, threshold: float = 0.6, words: int = 3, k:
     `threshold` of their union. members: `class, path`, one row for each different path; texts without such a run
     of words are in no class. Exact copies (equal sets) are one class, however many they are.
 
-    Each set is sketched by its k smallest values under one hash function. Inverted lists of retained values that
-    at most RARE sketches hold give candidates. Values of wording that stands in many documents would give
-    nearly all pairs, so they count as keys of RUN neighbouring retained values; the lists of those have no limit. Of the
-    values of two sets with similarity s, ordered by hash, each is shared with probability s, so similar
-    pairs have runs of shared ones. Candidates are estimated by 128 bits of sign and by the union's sketch, and
-    the rest is checked on whole sets.
+    Each set is sketched by its k smallest values under one hash function. Sketches of similar sets share so many values
+    that one is among the first of both in any one order of all values; the rarest come first, and the inverted lists of these
+    values give candidates. No list is left out for its length, and sets of few values are found like others. Pairs of a list are
+    rejected by size and by 512 bits of sign before they leave it, then estimated by the union's sketch, and the rest is checked
+    on whole sets. Sign and estimate reject at SLACK deviations: at the threshold itself about one pair in 10,000 each, fewer above.
     """
     sketch = sketches(docs, words, k)
     partitions = shuffle_partitions(docs.sparkSession)
@@ -216,23 +279,16 @@ def similar_classes(docs: DataFrame, threshold: float = 0.6, words: int = 3, k:
     firsts = members.select("class").distinct().withColumnRenamed("class", "id")
     others = sketch.select("id").join(firsts, "id", "left_anti")
     unique = sketch.where("n > 0").join(checked_broadcast(others), "id", "left_anti")
-    keys = unique.select("id", "sketch").mapInArrow(_keys(RUN), "key long, id long")
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(sketch))  # at most K * SAMPLE / 2 values
+    keys = unique.select("id", "n", "sign1", "sign2", "signs", "sketch").mapInArrow(_keys(shared, threshold, k), "key long, id long, n int, sign1 long, sign2 long, signs binary")
     sorted_keys = keys.repartition(partitions, "key").sortWithinPartitions("key")
-    near = sorted_keys.mapInArrow(_pairs(RARE), "a long, b long").distinct()
-    # the cosine of two sets at the threshold is least for equal sizes; so many of 128 bits may differ
-    cosine = 2 * threshold / (1 + threshold)
-    agree = 1 - np.arccos(cosine) / np.pi
-    differ = int(128 * (1 - agree) + SLACK * (128 * agree * (1 - agree)) ** 0.5)
-    sides = [sketch.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sign1", "sign2"))) for x in "ab"]
-    angle = F.bit_count(F.col("sign1_a").bitwiseXOR(F.col("sign1_b"))) + F.bit_count(F.col("sign2_a").bitwiseXOR(F.col("sign2_b")))
-    sizes = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
-    near = checkpointed(near.join(sides[0], "a").join(sides[1], "b").where(sizes & (angle <= differ)).select("a", "b").coalesce(narrow))
+    near = checkpointed(sorted_keys.mapInArrow(_pairs(threshold, k), "a long, b long").distinct().coalesce(narrow))
     # sketches and texts are moved of the documents in these pairs only
     ids = checked_broadcast(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     left, right = (sketch.select("id", "sketch").join(ids, "id", "left_semi").select(F.col("id").alias(x), F.col("sketch").alias(f"s_{x}")) for x in "ab")
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), union))
-    least = threshold - SLACK * (threshold * (1 - threshold) / k) ** 0.5
+    least = _least(threshold, k)
     likely = near.join(left, "a").join(right, "b").where(both >= least * F.size(union)).select("a", "b")  # the union sketch's share of shared values
     paths = checked_broadcast(sketch.select("id", F.col("path").alias("_path")).join(ids, "id", "left_semi"))
     texts = _text(docs).join(paths, F.col("path") == F.col("_path")).groupBy("id").agg(F.max("text").alias("text"))

@@ -168,6 +168,23 @@ def test_near_group_without_rare_values(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("size", [5, 10, 17, 32, 62])
+def test_families_of_short_texts(spark, size):
+    """Families of 14 differing texts, whose values all stand in more than 8, and their title's in all texts."""
+    r = random.Random(size)
+    data = []
+    for f in range(12):
+        base = [f"f{f}w{i}" for i in range(size)]
+        for k in range(14):
+            own = list(base)
+            for _ in range(1 + size // 20):
+                own[r.choice([0, -1, r.randrange(size)])] = f"x{r.randrange(999)}"
+            data.append((f"f{f:02}-{k:02}", "the same title", None, None, " ".join(own), 0, T, ""))
+    want = pairs_model(data)
+    assert len(want) > 100
+    assert {tuple(x) for x in nearcopies.similar_pairs(docs_frame(spark, data)).collect()} == want
+
+
 def test_no_documents(spark):
     empty = docs_frame(spark, [])
     assert nearcopies.similar_pairs(empty).count() == 0
