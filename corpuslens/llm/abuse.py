@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.sources.tables import spread
 
-#: Words of a window, and words from one window's begin to the next.
-WINDOW, STRIDE = 24, 16
+#: Words of a window, words from one window's begin to the next, and the same while a document's abusive window is looked for in training.
+WINDOW, STRIDE, GRID = 24, 1, 16
 #: Width of word vectors and of each direction's state; rows of the two tables of vectors.
 WIDTH, STATE, ROWS = 16, 16, 1 << 14
 #: Labelled documents that are read for training at most.
@@ -129,12 +129,12 @@ def features(word: str) -> tuple[int, list[int], int]:
     return zlib.crc32(word.encode()) % ROWS, grams, flag(word)
 
 
-def windows(rows: list[int], pad: int) -> np.ndarray:
+def windows(rows: list[int], pad: int, stride: int = STRIDE) -> np.ndarray:
     """All overlapping windows over the whole text, the last filled with `pad`."""
-    n = max(1, -(-(len(rows) - WINDOW + STRIDE) // STRIDE)) if len(rows) > WINDOW else 1
-    out = np.full((n - 1) * STRIDE + WINDOW, pad, np.int32)
+    n = max(1, -(-(len(rows) - WINDOW + stride) // stride)) if len(rows) > WINDOW else 1
+    out = np.full((n - 1) * stride + WINDOW, pad, np.int32)
     out[: len(rows)] = rows
-    return np.lib.stride_tricks.sliding_window_view(out, WINDOW)[::STRIDE]
+    return np.lib.stride_tricks.sliding_window_view(out, WINDOW)[::stride]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -325,7 +325,8 @@ def train(labelled: list[tuple[str, int]], seed: int = 1, epochs: int = 4, negat
     reader.words.append("")  # row 0 is padding
     blank = reader["0a"]
     places = np.array([0, *(reader[chr(k)] for k in (1, 2, 3))])
-    docs = [windows(reader.read(text), 0) for text, _ in labelled]
+    read = [reader.read(text) for text, _ in labelled]
+    docs = [windows(r, 0, GRID) for r in read]
     y = np.array([label for _, label in labelled], bool)
     feats = stacked(reader.words)
     network = Network(seed)
@@ -370,10 +371,15 @@ def train(labelled: list[tuple[str, int]], seed: int = 1, epochs: int = 4, negat
     trusted = np.where(y, (top > 0.5) | (marked > -2), top < 2.0) | small
     best = np.where(flagged, score, -99) >= marked[owner]
     picked = y[owner] & trusted[owner] & np.where(top[owner] > 0.5, (score >= top[owner] - 1) & (score > 0.5), picked if small else flagged & best)
-    for turn in range(2):
+    harmless = np.flatnonzero(~y & trusted)
+    for turn in range(3):
         at = np.concatenate([np.flatnonzero(picked), sample(~y[owner] & trusted[owner], score, negatives)])
-        _fit(network, feats, every[at], y[owner[at]].astype(np.float32), epochs if not turn else 2, rng, blank, places)
-        if not turn:
+        x, label = every[at], y[owner[at]].astype(np.float32)
+        if turn:  # harmless windows are scored at every word, so the highest of these are learnt too
+            worst = [w[np.argsort(-v)[:2]] for i in range(0, len(harmless), 64) for w, v in _dense(network, feats, [read[j] for j in harmless[i : i + 64]])]
+            x, label = np.concatenate([x, *worst]), np.concatenate([label, np.zeros(sum(map(len, worst)), np.float32)])
+        _fit(network, feats, x, label, 2 if turn else epochs, rng, blank, places)
+        if turn < 2:
             score = _scores(network, feats, every)
     return network, reader.known
 
@@ -383,6 +389,12 @@ def _scores(network: Network, feats, index: np.ndarray, block: int = 4096) -> np
     return np.concatenate([network.forward(index[i : i + block], tables) for i in range(0, len(index), block)])
 
 
+def _dense(network: Network, feats, texts: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All windows of each text and their scores."""
+    each = [windows(t, 0) for t in texts]
+    return zip(each, np.split(_scores(network, feats, np.concatenate(each), 1024), np.cumsum([len(w) for w in each])[:-1]))
+
+
 class Scorer:
     """Scores whole texts by their most abusive window; remembers the words' part of the network."""
 
@@ -427,7 +439,7 @@ def fitted(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
 def scored(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """`doc_id, source, score` of every row; score is 0 to 1, of the most abusive window.
 
-    A gated recurrent network reads windows of WINDOW words, one every STRIDE words, in both directions; words come as
+    A gated recurrent network reads windows of WINDOW words, one at every word, in both directions; words come as
     their own vector, the vectors of their character runs and a mark on listed stems; attention pools the
     states. Disguised words (look-alike signs, letters spelt out or masked, invisible characters) are put right first. Every
     window of every text is scored. Null and empty texts and texts without a word have score 0. Repeated rows come

@@ -33,6 +33,11 @@ def test_windows_cover_all_words(n):
         assert any(need <= set(row) for row in w)  # a passage of the overlap's length is whole in some window
 
 
+def test_passages_of_a_window_are_whole_wherever_they_stand():
+    w = {tuple(x) for x in A.windows(list(range(1, 101)), 0).tolist()}
+    assert all(tuple(range(at, at + A.WINDOW)) in w for at in range(1, 102 - A.WINDOW))
+
+
 def test_gradients():
     """The step's gradient against differences of the loss."""
     rng = np.random.default_rng(0)
