@@ -38,8 +38,14 @@ SQL: dict[str, str] = {
     "p3_found": "SELECT DISTINCT source_id, chunk_no FROM chunks WHERE strlen(text) > 8192",
     "p4_found": f"{_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_term_frequencies": f"{_TERMS} SELECT term, occurrences, documents, mark FROM marked",
-    "p6_templates": f"""{_REPEATED}
-        SELECT site, regexp_replace(line, '\\S*[0-9]\\S*', '<*>', 'g') AS template, count(*) AS lines, CAST(sum(docs) AS BIGINT) AS docs FROM counted GROUP BY 1, 2 HAVING sum(docs) >= 6""",
+    "p6_templates": f"""{_SITES},
+        long AS (SELECT DISTINCT path, site, line, string_split(line, ' ') AS t FROM lines WHERE length(line) >= 30 AND path IS NOT NULL),
+        placed AS (SELECT *, len(t) AS n, list_transform(t[1:4], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS way FROM long),
+        nodes AS (SELECT site, n, way, count(DISTINCT line) AS lines, count(DISTINCT path) AS docs FROM placed GROUP BY ALL HAVING count(DISTINCT path) >= 6),
+        slots AS (SELECT site, n, way, generate_subscripts(t, 1) AS i, unnest(list_concat(way, t[5:])) AS token FROM placed),
+        merged AS (SELECT site, n, way, i, CASE WHEN min(token) = max(token) THEN min(token) ELSE '<*>' END AS token FROM slots GROUP BY ALL),
+        named AS (SELECT site, n, way, string_agg(token, ' ' ORDER BY i) AS template FROM merged GROUP BY ALL)
+        SELECT site, template, lines, docs FROM nodes JOIN named USING (site, n, way)""",
     "p6_cleaned": f"""{_REPEATED},
         latest AS (SELECT path, site, body, row_number() OVER (PARTITION BY path ORDER BY 1) AS r FROM (SELECT DISTINCT path, site, body FROM sited)),
         heads AS (SELECT path, any_value(content) AS content, any_value(decode(encode(content)[1:coalesce(body_start, 0)])) AS head FROM documents_okf GROUP BY 1),

@@ -76,12 +76,39 @@ def test_sites_by_parent_and_empty(spark):
 
 
 def test_templates(spark):
-    data = [(f"p{i}", None, "s/x", None, f"Copy number {i} of the house rules, do not lend", 0, T, "") for i in range(9)]
+    data = [(f"p{i}", None, "s/x", None, f"Copy number {i} of the house rules, {'never' if i % 2 else 'do'} lend copy {i}\nSeen {i} times by all the {'crew' if i else 'staff'} of hall", 0, T, "") for i in range(9)]
+    data += [(f"q{i}", None, "s/x", None, "five words that nobody else has said", 0, T, "") for i in range(5)]
     got = sitelines.site_templates(docs_frame(spark, data)).collect()
-    assert [tuple(r) for r in got] == [("s", "copy number <*> of the house rules, do not lend", 9, 9)]
+    assert sorted(tuple(r) for r in got) == [("s", "copy number <*> of the house rules, <*> lend copy <*>", 9, 9), ("s", "seen <*> times by all the <*> of hall", 9, 9)]
     assert sitelines.repeated_lines(docs_frame(spark, data)).count() == 0
 
 
+def test_lines_come_through_their_templates(spark, monkeypatch):
+    """Lines of a template that is taken to cover too little aren't found, so there is no other way to them."""
+    data = site_data(3)
+    want = lines_model(data)
+    monkeypatch.setattr(sitelines, "node_of", lambda site, line: hash((site, line, random.random())) >> 1)
+    assert want and sitelines._Trees(docs_frame(spark, data), 30, 10**6).repeated().count() == 0
+
+
+@pytest.mark.parametrize("line", ["a \t b", "a\x1cb  c", "\u00a0x\u2003y\u200bz ", "ÀB\x85c", "", "   ", "İ ß Σ"])
+def test_normal_lines(line):
+    assert sitelines.normal(line) == re.sub("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ", line).strip(" ").lower()
+
+
+def test_many_keys_take_the_way_by_joins(spark, monkeypatch):
+    """With more repeated lines than one executor should hold, rows are the same."""
+    data = site_data(4)
+    df = docs_frame(spark, data)
+    want = {tuple(r) for r in sitelines.repeated_lines(df).collect()}, sorted(map(tuple, sitelines.without_repeated_lines(df).collect()), key=repr), sorted(map(tuple, sitelines.site_templates(df).collect()))
+    kept = sitelines._kept
+    monkeypatch.setattr(sitelines, "_kept", lambda rows, keys, run, schema, fallback: fallback(rows, keys))
+    assert kept is not sitelines._kept
+    assert {tuple(r) for r in sitelines.repeated_lines(df).collect()} == want[0]
+    assert sorted(map(tuple, sitelines.without_repeated_lines(df).collect()), key=repr) == want[1]
+    assert sorted(map(tuple, sitelines.site_templates(df).collect())) == want[2]
+
+
 WORD = re.compile(r"[^\W_]+")
 
 
