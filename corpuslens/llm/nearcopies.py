@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.bodies import body
-from corpuslens.sources.tables import checked_broadcast, checkpointed, fewer, shuffle_partitions, spread
+from corpuslens.sources.tables import checked_broadcast, checkpointed, shuffle_partitions, spread
 
 #: Retained values of a sketch.
 K = 128
@@ -21,6 +21,8 @@ K = 128
 SAMPLE = 8192
 #: Standard deviations below the threshold at which an estimate rejects a pair.
 SLACK = 3.7
+#: Members of a part of an inverted list; a longer one is split, and each two of its parts meet in a task of their own.
+PART = 4096
 #: Words of 64 bits of sign; two go with every key, the others with keys that are frequent.
 SIGNS = 8
 #: Members up to which a class of exact copies comes out as all its pairs; of larger ones, each member with the first.
@@ -104,8 +106,10 @@ def _least(threshold: float, k: int) -> float:
     return threshold - SLACK * (threshold * (1 - threshold) / k) ** 0.5
 
 
-def _differ(threshold: float, bits: int, few: bool) -> int:
+def _differ(threshold: float, bits: int, few: bool, exact: bool) -> int:
     """How many of so many bits may differ: the cosine of two sets at the threshold is least for equal sizes; of `few` values up to a quarter of the bits differ."""
+    if exact:
+        return bits
     cosine = 2 * threshold / (1 + threshold)
     p = max(np.arccos(cosine) / np.pi, 0.25 * few)
     return int(bits * p + SLACK * (bits * p * (1 - p)) ** 0.5)
@@ -123,19 +127,30 @@ def _reach(n: np.ndarray, threshold: float, k: int) -> np.ndarray:
     return (size - np.maximum(need, 1) + 1).astype(np.int64)
 
 
-def _frequent(sketch: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Values that at least two of about `most` sketches hold, sorted, and in how many of them."""
+def _frequent(sketch: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
+    """Values that at least two of about `most` sketches hold, sorted, in how many of them, and the share of all sketches that these are."""
     share = most / max(1, sketch.count())
     some = sketch if share >= 1 else sketch.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     values, counts = np.unique(some.select("sketch").toArrow().column("sketch").combine_chunks().flatten().to_numpy(), return_counts=True)
-    return values[counts > 1], counts[counts > 1]
+    return values[counts > 1], counts[counts > 1], min(1.0, share)
 
 
-def _keys(shared, threshold: float, k: int):
+def _parted(values: np.ndarray, rows: np.ndarray, ids: np.ndarray, members: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists longer than `part` as one list for each two of their parts: (values, rows, index of the row before). A member goes to all lists of its part."""
+    parts = np.maximum(1, -(-members // part)).astype(np.int64)
+    which = np.repeat(np.arange(len(values)), parts)
+    mine = (ids[which].view(np.uint64) * _M1 >> np.uint64(33)).astype(np.int64) % parts[which]
+    other = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+    cell = (np.minimum(mine, other) * 0x10001 + np.maximum(mine, other)).astype(np.uint64)
+    mixed = (values[which].view(np.uint64) ^ cell * _M2) * _M1
+    return np.where(parts[which] > 1, (mixed ^ mixed >> np.uint64(31)).view(np.int64), values[which]), rows[which], which
+
+
+def _keys(shared, threshold: float, k: int, part: int = PART):
     """`key, id, n, sign1, sign2, signs`: of each sketch the values that `_reach` asks for, the rarest first; signs is null for rare ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = shared.value
+        frequent, counts, share = shared.value
         for batch in batches:
             values = batch.column("sketch").flatten().to_numpy()
             sizes = batch.column("sketch").value_lengths().to_numpy()
@@ -146,17 +161,17 @@ def _keys(shared, threshold: float, k: int):
                 often = np.where(frequent[at] == values, counts[at], 0)
             place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             order = np.lexsort((values, often, owner))[place < _reach(batch.column("n").to_numpy(), threshold, k)[owner]]
-            rows = owner[order]
-            signs = batch.column("signs").take(pa.array(rows, mask=often[order] == 0))
-            yield pa.RecordBatch.from_arrays([pa.array(values[order]), *(pa.array(batch.column(c).to_numpy()[rows]) for c in ("id", "n", "sign1", "sign2")), signs], names=["key", "id", "n", "sign1", "sign2", "signs"])
+            keys, rows, which = _parted(values[order], owner[order], batch.column("id").to_numpy()[owner[order]], often[order] / share, part)
+            signs = batch.column("signs").take(pa.array(rows, mask=often[order][which] == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(batch.column(c).to_numpy()[rows]) for c in ("id", "n", "sign1", "sign2")), signs], names=["key", "id", "n", "sign1", "sign2", "signs"])
 
     return run
 
 
-def _pairs(threshold: float, k: int, block: int = 64, wide: int = 4096):
+def _pairs(threshold: float, k: int, exact: bool, block: int = 64, wide: int = 4096):
     """Pairs of the ids of each inverted list that sizes and signs don't reject; keys come sorted. No list is too long."""
     few = threshold * k
-    first, other = (np.array([_differ(threshold, bits, x) for x in (False, True)], np.int64) for bits in (128, 64 * (SIGNS - 2)))
+    first, other = (np.array([_differ(threshold, bits, x, exact) for x in (False, True)], np.int64) for bits in (128, 64 * (SIGNS - 2)))
     blank = bytes(8 * (SIGNS - 2))
 
     def likely(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -253,10 +268,10 @@ def _text(docs: DataFrame) -> DataFrame:
 def sketches(docs: DataFrame, words: int = 3, k: int = K) -> DataFrame:
     """`id, path, print, n, sketch` of every row with a path: the k smallest values of its set, and its size."""
     made = spread(_text(docs)).mapInArrow(_sketched(words, k), "path string, print binary, n int, sign1 long, sign2 long, signs binary, sketch array<long>")
-    return checkpointed(fewer(made).withColumn("id", F.monotonically_increasing_id()))
+    return checkpointed(made.withColumn("id", F.monotonically_increasing_id()))
 
 
-def similar_classes(docs: DataFrame, threshold: float = 0.6, words: int = 3, k: int = K) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, threshold: float = 0.6, words: int = 3, k: int = K, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Links between classes of exact copies, and the classes' members.
 
     links: `a, b, similarity` (a < b), pairs of classes whose sets of `words` neighbouring words share at least
@@ -268,7 +283,10 @@ def similar_classes(docs: DataFrame, threshold: float = 0.6, words: int = 3, k:
     values give candidates. No list is left out for its length, and sets of few values are found like others. Pairs of a list are
     rejected by size and by 512 bits of sign before they leave it, then estimated by the union's sketch, and the rest is checked
     on whole sets. Sign and estimate reject at SLACK deviations: at the threshold itself about one pair in 10,000 each, fewer above.
+    With `exact` whole sets take the place of sketches and neither rejects anything, so that no pair is lost, at the price of far more
+    values. A list longer than PART members, as the sample tells, is split, and each two of its parts meet in a list of their own.
     """
+    k = 1 << 30 if exact else k
     sketch = sketches(docs, words, k)
     partitions = shuffle_partitions(docs.sparkSession)
     narrow = max(1, partitions // 4)  # of ids and paths only
@@ -282,14 +300,14 @@ def similar_classes(docs: DataFrame, threshold: float = 0.6, words: int = 3, k:
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(sketch))  # at most K * SAMPLE / 2 values
     keys = unique.select("id", "n", "sign1", "sign2", "signs", "sketch").mapInArrow(_keys(shared, threshold, k), "key long, id long, n int, sign1 long, sign2 long, signs binary")
     sorted_keys = keys.repartition(partitions, "key").sortWithinPartitions("key")
-    near = checkpointed(sorted_keys.mapInArrow(_pairs(threshold, k), "a long, b long").distinct().coalesce(narrow))
+    near = checkpointed(sorted_keys.mapInArrow(_pairs(threshold, k, exact), "a long, b long").distinct().coalesce(narrow))
     # sketches and texts are moved of the documents in these pairs only
     ids = checked_broadcast(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     left, right = (sketch.select("id", "sketch").join(ids, "id", "left_semi").select(F.col("id").alias(x), F.col("sketch").alias(f"s_{x}")) for x in "ab")
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), union))
     least = _least(threshold, k)
-    likely = near.join(left, "a").join(right, "b").where(both >= least * F.size(union)).select("a", "b")  # the union sketch's share of shared values
+    likely = near if exact else near.join(left, "a").join(right, "b").where(both >= least * F.size(union)).select("a", "b")  # the union sketch's share of shared values
     paths = checked_broadcast(sketch.select("id", F.col("path").alias("_path")).join(ids, "id", "left_semi"))
     texts = _text(docs).join(paths, F.col("path") == F.col("_path")).groupBy("id").agg(F.max("text").alias("text"))
     left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
@@ -297,37 +315,46 @@ def similar_classes(docs: DataFrame, threshold: float = 0.6, words: int = 3, k:
     return links.where(F.col("similarity") >= threshold), members.select("class", "path")
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.6, words: int = 3) -> DataFrame:
+def similar_pairs(docs: DataFrame, threshold: float = 0.6, words: int = 3, exact: bool = False, whole_class: int = WHOLE_CLASS) -> DataFrame:
     """Pairs of different paths whose sets share at least `threshold` of their union: `path_a, path_b`, path_a < path_b.
 
     The words are the maximal runs of letters and digits of title (null as empty), a blank and the body,
     lower-cased. Null content is an empty body; texts with fewer than `words` words are in no pair. Of rows with
-    one path the texts count as one document's. Classes of exact copies with more than WHOLE_CLASS members
-    are given as links of each member with the first path, and link to other classes by the first path only.
+    one path the texts count as one document's. Classes of exact copies with more than `whole_class` members
+    are given as links of each member with the first path, and link to other classes by the first path only; members has the classes.
     """
-    links, members = similar_classes(docs, threshold, words)
+    links, members = similar_classes(docs, threshold, words, exact=exact)
     sizes = members.groupBy("class").agg(F.count("*").alias("size"), F.min("path").alias("first"))
     spread = members.join(sizes.where("size > 1"), "class", "inner")
     other = members.select("class", F.col("path").alias("path_b"))
-    few, many = spread.where(F.col("size") <= WHOLE_CLASS), spread.where(F.col("size") > WHOLE_CLASS)
+    few, many = spread.where(F.col("size") <= whole_class), spread.where(F.col("size") > whole_class)
     copies = few.join(other, "class").select(F.col("path").alias("path_a"), "path_b").where("path_a < path_b").unionByName(many.select(F.col("first").alias("path_a"), F.col("path").alias("path_b")).where("path_a < path_b"))
-    ends = members.join(sizes, "class").where((F.col("size") <= WHOLE_CLASS) | (F.col("path") == F.col("first"))).select("class", "path")
+    ends = members.join(sizes, "class").where((F.col("size") <= whole_class) | (F.col("path") == F.col("first"))).select("class", "path")
     a, b = (ends.select(F.col("class").alias(x), F.col("path").alias(f"_{x}")) for x in "ab")
     between = links.join(a, "a").join(b, "b").where("_a <> _b").select(F.least("_a", "_b").alias("path_a"), F.greatest("_a", "_b").alias("path_b"))
     return copies.unionByName(between).distinct()
 
 
-def groups(links: DataFrame, members: DataFrame, rounds: int = 40) -> DataFrame:
+def members(docs: DataFrame, words: int = 3) -> DataFrame:
+    """Classes of exact copies (equal sets), whatever their size: `path, first, size`, first being the class's first path."""
+    each = spread(_text(docs)).mapInArrow(_sketched(words, 1), "path string, print binary, n int, sign1 long, sign2 long, signs binary, sketch array<long>").where("n > 0").select("path", "print").distinct()
+    each = checkpointed(each)
+    firsts = each.groupBy("print").agg(F.min("path").alias("first"), F.count("*").alias("size"))
+    return each.join(firsts, "print").groupBy("path").agg(F.min(F.struct("first", "size")).alias("x")).select("path", "x.first", "x.size")
+
+
+def groups(links: DataFrame, members: DataFrame) -> DataFrame:
     """One row for each path: `path, group, links`.
 
     group is the smallest path that links reach from the path's class, so groups are connected components; links is the
     number of other classes that the path's class is linked with. Each round takes the least id among a
-    class and its neighbours, then follows it one step on, so chains shorten by half; every round is written out.
+    class and its neighbours, then follows it one step on, so chains shorten by half; every round is written out, and they
+    go on until nothing changes, which a finite number of classes is sure to reach.
     """
     links = checkpointed(links.select("a", "b"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = checkpointed(both.groupBy("a").agg(F.least("a", F.min("b")).alias("g")))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("g").alias("low"))
         step = label.join(near, "a").select("a", F.least("g", "low").alias("g2"), "g")
         jump = step.select(F.col("a").alias("g2"), F.col("g2").alias("g3"))

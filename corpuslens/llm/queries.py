@@ -66,6 +66,10 @@ def p7_groups(spark: SparkSession, root: str) -> DataFrame:
     return nearcopies.groups(links, members)
 
 
+def p7_members(spark: SparkSession, root: str) -> DataFrame:
+    return nearcopies.members(table(spark, root, "documents_okf"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.token_ids(table(spark, root, "documents"))
 
@@ -92,5 +96,5 @@ def p10_source_rates(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_restored, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_term_frequencies, p6_found, p6_templates, p6_cleaned, p7_found, p7_groups, p8_ids, p9_mixture, p9_report, p10_found, p10_scores, p10_source_rates)
+    for f in (p1_found, p1_restored, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_term_frequencies, p6_found, p6_templates, p6_cleaned, p7_found, p7_groups, p7_members, p8_ids, p9_mixture, p9_report, p10_found, p10_scores, p10_source_rates)
 }

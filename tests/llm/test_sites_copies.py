@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from corpuslens.llm import nearcopies, sitelines
@@ -195,6 +196,36 @@ def test_near_group_without_rare_values(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_exact_way_loses_nothing(spark):
+    data = copy_data(6, hot=5)
+    assert {tuple(r) for r in nearcopies.similar_pairs(docs_frame(spark, data), exact=True).collect()} == pairs_model(data)
+
+
+def test_classes_of_any_size(spark):
+    data = copy_data(4, hot=60)
+    got = {r["path"]: (r["first"], r["size"]) for r in nearcopies.members(docs_frame(spark, data)).collect()}
+    sets = {d[0]: frozenset(shingles(d[1], d[4], d[5])) for d in data if d[0] is not None}
+    for path, own in sets.items():
+        same = sorted(p for p, x in sets.items() if x == own)
+        assert not own and path not in got or got[path] == (same[0], len(same))
+
+
+@pytest.mark.parametrize("part", [1, 3, 7, 100])
+def test_split_lists_bring_all_pairs_together(part):
+    ids = np.arange(50, dtype=np.int64) * 977
+    values, rows = np.repeat([5, -9], 25), np.arange(50)
+    keys, back, which = nearcopies._parted(values, rows, ids, np.full(50, 25.0), part)
+    assert (back == rows[which]).all()
+    lists = defaultdict(set)
+    for k, r in zip(keys.tolist(), back.tolist()):
+        lists[k].add(r)
+    for base in (0, 25):
+        for i in range(base, base + 25):
+            for j in range(i, base + 25):
+                assert any({i, j} <= x for x in lists.values())
+    assert len(lists) > 2 or part == 100
+
+
 @pytest.mark.parametrize("size", [5, 10, 17, 32, 62])
 def test_families_of_short_texts(spark, size):
     """Families of 14 differing texts, whose values all stand in more than 8, and their title's in all texts."""
