@@ -28,12 +28,12 @@ _NEAR = """
     words AS (SELECT path, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM texts),
     runs AS (SELECT DISTINCT path, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM words),
     sizes AS (SELECT path, count(*) AS n FROM runs GROUP BY 1),
-    shared AS (SELECT a.path AS path_a, b.path AS path_b, count(*) AS c FROM runs a JOIN runs b ON a.s = b.s AND a.path < b.path GROUP BY ALL)
+    shared AS (SELECT a.path AS path_a, b.path AS path_b, count(*) AS c FROM runs a JOIN runs b ON a.s = b.s AND a.path < b.path GROUP BY ALL),
     near AS (SELECT path_a, path_b, c = x.n AND c = y.n AS equal FROM shared JOIN sizes x ON x.path = path_a JOIN sizes y ON y.path = path_b WHERE c >= 0.6 * (x.n + y.n - c))"""
 
 _CLASSES = f"""{_NEAR.replace("WITH texts", "WITH RECURSIVE texts")},
-    both AS (SELECT path_a AS a, path_b AS b, equal FROM near UNION ALL SELECT path_b, path_a, equal FROM near),
-    class AS (SELECT path, least(path, coalesce(min(b), path)) AS first, 1 + count(b) AS size FROM sizes LEFT JOIN (SELECT * FROM both WHERE equal) ON path = a GROUP BY path)"""
+    sides AS (SELECT path_a AS a, path_b AS b, equal FROM near UNION ALL SELECT path_b, path_a, equal FROM near),
+    class AS (SELECT path, least(path, coalesce(min(b), path)) AS first, 1 + count(b) AS size FROM sizes LEFT JOIN (SELECT * FROM sides WHERE equal) ON path = a GROUP BY path)"""
 
 _REPEATED = f"""{_SITES},
     counted AS (SELECT site, line, count(DISTINCT path) AS docs FROM lines WHERE length(line) >= 30 GROUP BY ALL)"""
@@ -62,9 +62,9 @@ SQL: dict[str, str] = {
     "p7_found": f"{_NEAR} SELECT path_a, path_b FROM near",
     "p7_members": f"{_CLASSES} SELECT path, first, size FROM class",
     "p7_groups": f"""{_CLASSES},
-        reach AS (SELECT path AS p, path AS q FROM sizes UNION SELECT p, b FROM reach JOIN both ON q = a),
+        reach AS (SELECT path AS p, path AS q FROM sizes UNION SELECT p, b FROM reach JOIN sides ON q = a),
         parts AS (SELECT p, min(q) AS "group" FROM reach GROUP BY 1),
-        degree AS (SELECT a, count(DISTINCT o.first) AS links FROM both JOIN class m ON m.path = a JOIN class o ON o.path = b WHERE o.first <> m.first GROUP BY 1)
+        degree AS (SELECT a, count(DISTINCT o.first) AS links FROM sides JOIN class m ON m.path = a JOIN class o ON o.path = b WHERE o.first <> m.first GROUP BY 1)
         SELECT p AS path, "group", CAST(coalesce(links, 0) AS BIGINT) AS links FROM parts LEFT JOIN degree ON a = p""",
     "p6_found": f"{_SITES} SELECT site, line FROM lines WHERE length(line) >= 30 GROUP BY ALL HAVING count(DISTINCT path) >= 6",
 }
