@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,7 +38,8 @@ def raked(cells: pd.DataFrame, goal: np.ndarray, rounds: int = 100) -> np.ndarra
 
     `cells` has source, lang and topic as numbers from 0, tokens, and cap, the most tokens it can give. Languages and topics
     have the margins that they have in the sources' own tokens; the sources' goals come last in each round, so
-    they hold in the end. No cell exceeds its cap; what it can't give is taken by the source's other cells.
+    they hold in the end. No cell exceeds its cap; what it can't give is taken by the source's other cells. Caps may leave no solution in
+    which languages and topics have their margins too; then the rounds end without one, which a warning says.
     """
     source, tokens, cap = cells["source"].to_numpy(), cells["tokens"].to_numpy(float), cells["cap"].to_numpy(float)
     x = tokens * 1.0
@@ -59,6 +62,9 @@ def raked(cells: pd.DataFrame, goal: np.ndarray, rounds: int = 100) -> np.ndarra
                 break
         if np.allclose(before, x, rtol=1e-7):
             break
+    else:
+        if len(x):
+            warnings.warn(f"margins of languages and topics aren't met within {rounds} rounds; sources are", stacklevel=2)
     return x
 
 

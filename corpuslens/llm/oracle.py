@@ -39,6 +39,17 @@ _REPEATED = f"""{_SITES},
     counted AS (SELECT site, line, count(DISTINCT path) AS docs FROM lines WHERE length(line) >= 30 GROUP BY ALL)"""
 
 SQL: dict[str, str] = {
+    # of results that SQL can't make: what has to hold of them
+    "p1_unchanged": "SELECT DISTINCT path, TRUE AS ok FROM documents_okf WHERE path IS NOT NULL AND content IS NOT NULL",
+    "p2_unchanged": """
+        SELECT DISTINCT 'documents_okf' AS tbl, path AS rec_key, TRUE AS ok FROM documents_okf WHERE path IS NOT NULL AND content IS NOT NULL
+        UNION ALL SELECT DISTINCT 'chunks', source_id || '#' || chunk_no, TRUE FROM chunks WHERE source_id IS NOT NULL AND chunk_no IS NOT NULL AND text IS NOT NULL""",
+    "p3_joined": "SELECT DISTINCT source_id, chunk_no, strlen(text) AS bytes, md5(text) AS md5, TRUE AS fits FROM chunks WHERE strlen(text) > 8192",
+    "p8_decoded": "SELECT doc_id, strlen(coalesce(text, '')) AS bytes, md5(coalesce(text, '')) AS md5 FROM documents",
+    "p9_kept": """
+        WITH w AS (SELECT source, sum(weight) AS weight, CAST(max(greatest(coalesce(max_repeats, 1), 0)) AS INT) AS max_repeats FROM mix_targets WHERE source IS NOT NULL AND weight > 0 GROUP BY 1)
+        SELECT source, round(weight / (SELECT sum(weight) FROM w), 9) AS target_share, max_repeats, TRUE AS ok FROM w""",
+    "p10_counted": "SELECT source, count(*) AS documents, TRUE AS ok FROM documents GROUP BY 1",
     "p3_found": "SELECT DISTINCT source_id, chunk_no FROM chunks WHERE strlen(text) > 8192",
     "p4_found": f"{_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_term_frequencies": f"{_TERMS} SELECT term, occurrences, documents, mark FROM marked",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import abuse, encoding, frequency, mixture, nearcopies, scans, sitelines, split, tokens
+from corpuslens.llm import abuse, checks, encoding, frequency, mixture, nearcopies, scans, sitelines, split, tokens
 from corpuslens.llm.oracle import SQL  # noqa: F401
 from corpuslens.sources.tables import table
 
@@ -94,7 +94,31 @@ def p10_source_rates(spark: SparkSession, root: str) -> DataFrame:
     return abuse.source_rates(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+def p1_unchanged(spark: SparkSession, root: str) -> DataFrame:
+    return checks.restored_otherwise_unchanged(table(spark, root, "documents_okf"))
+
+
+def p2_unchanged(spark: SparkSession, root: str) -> DataFrame:
+    return checks.repaired_otherwise_unchanged(table(spark, root, "documents_okf"), table(spark, root, "chunks"))
+
+
+def p3_joined(spark: SparkSession, root: str) -> DataFrame:
+    return checks.pieces_joined(table(spark, root, "chunks"))
+
+
+def p8_decoded(spark: SparkSession, root: str) -> DataFrame:
+    return checks.ids_decoded(table(spark, root, "documents"))
+
+
+def p9_kept(spark: SparkSession, root: str) -> DataFrame:
+    return checks.mixture_kept(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+
+
+def p10_counted(spark: SparkSession, root: str) -> DataFrame:
+    return checks.scores_counted(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_restored, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_term_frequencies, p6_found, p6_templates, p6_cleaned, p7_found, p7_groups, p7_members, p8_ids, p9_mixture, p9_report, p10_found, p10_scores, p10_source_rates)
+    for f in (p1_found, p1_restored, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_term_frequencies, p6_found, p6_templates, p6_cleaned, p7_found, p7_groups, p7_members, p8_ids, p9_mixture, p9_report, p10_found, p10_scores, p10_source_rates, p1_unchanged, p2_unchanged, p3_joined, p8_decoded, p9_kept, p10_counted)
 }
