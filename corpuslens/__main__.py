@@ -1,4 +1,4 @@
-"""python -m corpuslens ingest SOURCES OUT [--force-layout] | search BUNDLE QUERY | list BUNDLE"""
+"""python -m corpuslens ingest SOURCES OUT [--force-layout] | search QUERY --bundle FOLDER --index FOLDER | list --bundle FOLDER --index FOLDER"""
 
 from __future__ import annotations
 
@@ -20,12 +20,16 @@ def main(argv: list[str]) -> int:
     ingest.add_argument("--prefix", default="sources")
     for name in ("search", "list"):
         c = sub.add_parser(name)
-        c.add_argument("bundle")
-        c.add_argument("--index", required=True, help="folder for index versions, shared by all executors")
+        own = os.environ.get("CORPUSLENS_BUNDLE")
+        c.add_argument("--bundle", default=own, required=own is None, help="folder of Markdown documents; by default CORPUSLENS_BUNDLE")
+        root = os.environ.get("CORPUSLENS_INDEX")
+        c.add_argument("--index", default=root, required=root is None, help="folder for index versions, shared by all executors; by default CORPUSLENS_INDEX")
         if name == "search":
             c.add_argument("query")
+    p.add_argument("--log-level", default=os.environ.get("CORPUSLENS_LOG_LEVEL", "WARN"), help="Spark's log level; by default CORPUSLENS_LOG_LEVEL, else WARN")
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("corpuslens").getOrCreate()
+    spark.sparkContext.setLogLevel(args.log_level.upper())
     if args.command == "ingest":
         from corpuslens.sources import ingest as I
         from corpuslens.sources.bundle import write_files

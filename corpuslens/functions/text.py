@@ -17,6 +17,10 @@ HEADER_LINES, FOOTER_LINES, REPEATS, ZONE_SHARE = 10, 5, 3, (4, 5)
 SLUG_DROPS = ".()"
 
 
+#: Extensions of the files that are taken in, and their kinds.
+EXTENSIONS = {"pdf": "pdf", "docx": "office", "doc": "office", "pptx": "office", "ppt": "office", "txt": "text"}
+
+
 def text(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -29,7 +33,10 @@ def slug(stem: Column | str) -> Column:
 def kind_of(path: Column | str) -> Column:
     """Kind of a source by the extension of its file name, whatever the case; null for others."""
     ext = F.lower(F.regexp_extract(text(path), r"\.([^./\\]+)$", 1))
-    return F.when(ext == "pdf", "pdf").when(ext.isin("docx", "doc", "pptx", "ppt"), "office").when(ext == "txt", "text")
+    out = F.lit(None).cast("string")
+    for kind in sorted(set(EXTENSIONS.values())):
+        out = F.when(ext.isin(*[e for e, k in EXTENSIONS.items() if k == kind]), kind).otherwise(out)
+    return out
 
 
 def normal_line(line: Column | str) -> Column:

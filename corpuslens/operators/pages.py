@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import REPEATS, ZONE_SHARE, in_zone, is_contents_row, is_page_marker, normal_line, slug
-from corpuslens.sources.tables import shuffle_partitions
+from corpuslens.sources.tables import checked_broadcast, checkpointed, shuffle_partitions
 
 #: Bytes of a chunk that isn't exceeded by joining pages, and of a page from which it is cut by itself.
 TARGET, OVERSIZED = 8192, 16384
@@ -55,13 +55,15 @@ def boilerplate(stats: DataFrame) -> DataFrame:
 def clean_pages(pages: DataFrame) -> DataFrame:
     """`source_id, page_no, text` without running headers and footers, page markers and rows of contents.
 
-    Blank lines stay, and repeated lines in the middle of pages stay. A page that loses all its lines stays as an empty one.
+    Blank lines stay, and repeated lines in the middle of pages stay. A page that loses all its lines stays as an empty one. Lines are
+    filtered in the array of their page, so texts stay where they are: only the few repeated lines of a source are joined to its pages.
     """
-    rows = page_lines(pages).withColumn("norm", normal_line("line"))
-    lasting = (F.col("norm") == "") | ~(is_page_marker("norm") | is_contents_row("line"))
-    kept = rows.where(lasting).join(boilerplate(line_stats(pages)), ["source_id", "norm"], "left_anti")
-    texts = kept.groupBy("source_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return pages.select("source_id", "page_no").join(texts, ["source_id", "page_no"], "left").select("source_id", "page_no", F.coalesce("text", F.lit("")).alias("text"))
+    repeated = checkpointed(boilerplate(line_stats(pages)).groupBy(F.col("source_id").alias("_source")).agg(F.collect_set("norm").alias("_repeated")))
+    cut = F.when(F.length("text") > 0, F.split(F.regexp_replace("text", r"\r?\n\z", ""), r"\r?\n"))
+    paired = F.transform(F.col("_cut"), lambda x: F.struct(x.alias("line"), normal_line(x).alias("norm")))
+    lasting = lambda x: (x["norm"] == "") | ~(is_page_marker(x["norm"]) | is_contents_row(x["line"]) | F.array_contains(F.coalesce("_repeated", F.array().cast("array<string>")), x["norm"]))
+    rows = pages.select("source_id", "page_no", cut.alias("_cut")).join(checked_broadcast(repeated), F.col("source_id") == F.col("_source"), "left")
+    return rows.select("source_id", "page_no", F.coalesce(F.array_join(F.transform(F.filter(paired, lasting), lambda x: x["line"]), "\n"), F.lit("")).alias("text"))
 
 
 def pack_pages(pages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import PREFIX, PREFIX_EXTRA, matches, query_terms, score
-from corpuslens.sources.tables import checked_broadcast, settled
+from corpuslens.sources.tables import checked_broadcast, checkpointed, settled, shuffle_partitions
 
 #: Hits shown, excerpts of a hit, bytes that count as near, and bytes of an excerpt before and after its anchor.
 HITS, EXCERPTS, NEAR, BEFORE, AFTER = 20, 3, 500, 150, 300
@@ -56,17 +56,39 @@ def rank(docs: DataFrame, posted: DataFrame, vocab: DataFrame, terms: DataFrame,
 
     Coverage, the number of slots with a match, goes first, then the score, then the key.
     """
+    return numbered(matched_documents(docs, posted, vocab, terms, key, found), key)
+
+
+def matched_documents(docs: DataFrame, posted: DataFrame, vocab: DataFrame, terms: DataFrame, key: str = "doc_id", found: DataFrame | None = None) -> DataFrame:
+    """`query_id, <key>, coverage, freq, token_count, score` of every document with any term of a query, in no order."""
     found = match_terms(vocab, terms) if found is None else found
     per_term = posted.select("term", key, "freq").join(found, "term").groupBy("q", key).agg(F.sum("freq").alias("freq"))
     per_doc = per_term.join(terms, "q").groupBy("query_id", key).agg(F.count("*").alias("coverage"), F.sum("freq").alias("freq"))
     hits = per_doc.join(docs.select(key, "token_count"), key).withColumn("score", score(F.col("freq"), F.col("token_count")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc("score"), key)
-    return hits.select("query_id", F.row_number().over(order).alias("rank"), key, "coverage", "freq", "token_count", "score")
+    return hits.select("query_id", key, "coverage", "freq", "token_count", "score")
+
+
+def numbered(hits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`hits` with `rank` within their query: by coverage and score, the highest first, then by key.
+
+    Hits are put in order by range, so the millions of one query fill many tasks; a rank is the place in its partition added to the
+    query's hits in the partitions before, which are a few numbers a partition.
+    """
+    order = ["query_id", F.desc("coverage"), F.desc("score"), key]
+    n = shuffle_partitions(hits.sparkSession)
+    ranged = checkpointed(hits.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("query_id", "_part").count()
+    before = counts.select("query_id", F.col("_part"), (F.sum("count").over(Window.partitionBy("query_id").orderBy("_part")) - F.col("count")).alias("_before"))  # queries x partitions
+    local = F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(F.desc("coverage"), F.desc("score"), key))
+    placed = ranged.withColumn("_local", local).join(F.broadcast(before), ["query_id", "_part"])
+    return placed.select("query_id", (F.col("_local") + F.col("_before")).cast("int").alias("rank"), key, "coverage", "freq", "token_count", "score")
 
 
 def top_hits(docs: DataFrame, posted: DataFrame, vocab: DataFrame, terms: DataFrame, key: str = "doc_id", hits: int = HITS, found: DataFrame | None = None) -> DataFrame:
-    """The first `hits` of each query; Spark keeps only so many of each while it sorts."""
-    return rank(docs, posted, vocab, terms, key, found).where(F.col("rank") <= hits)
+    """The first `hits` of each query. Each task keeps only so many of each query before they are brought together."""
+    every = matched_documents(docs, posted, vocab, terms, key, found)
+    order = Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc("score"), key)
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hits).select("query_id", "rank", key, "coverage", "freq", "token_count", "score")
 
 
 def anchors(found: DataFrame, key: str = "doc_id") -> DataFrame:

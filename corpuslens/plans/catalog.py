@@ -6,6 +6,7 @@ Queries over the reference's operators read the project's tables as follows: a d
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ from corpuslens.operators import index, pages, search
 from corpuslens.operators.balanced import heavy_terms, term_totals
 from corpuslens.plans import service
 from corpuslens.plans.sql import SQL  # noqa: F401
-from corpuslens.sources import bundle
-from corpuslens.sources.tables import checkpointed, table
+from corpuslens.sources import bundle, ingest
+from corpuslens.sources.tables import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,9 +45,17 @@ def _docs(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "docs").drop("next_stem").distinct()
 
 
-def _posted(spark: SparkSession, root: str) -> DataFrame:
-    """Postings of `documents`, kept while a query reads them for its vocabulary and again for its terms."""
-    return checkpointed(index.postings(table(spark, root, "documents")))
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(docs, postings, vocab) of the index of `documents`, which a session writes once and all searches read."""
+    at = spark.sparkContext.applicationId, root
+    if at not in _indexes:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        index.write_index(table(spark, root, "documents").select("doc_id", "text", F.lit(0).alias("body_start")), path)
+        _indexes[at] = path
+    return tuple(spark.read.parquet(f"{_indexes[at]}/{t}") for t in ("docs", "postings", "vocab"))
 
 
 def tokenize_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -85,20 +94,14 @@ def _matched(asked: list[str]) -> Query:
 
 def _ranked(queries: dict[int, str]) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        docs, posted = table(spark, root, "documents"), _posted(spark, root)
-        return search.rank(_sized(docs, posted), posted, index.vocabulary(posted), search.terms_frame(spark, queries))
+        return search.rank(*_index(spark, root), search.terms_frame(spark, queries))
 
     return run
 
 
-def _sized(docs: DataFrame, posted: DataFrame) -> DataFrame:
-    counts = posted.groupBy("doc_id").agg(F.sum("freq").alias("token_count"))
-    return docs.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("token_count", F.lit(0)).alias("token_count"))
-
-
 def _slots(spark: SparkSession, root: str) -> DataFrame:
-    posted = _posted(spark, root)
-    return search.slots(posted, index.vocabulary(posted), search.terms_frame(spark, SEARCHES))
+    _, posted, vocab = _index(spark, root)
+    return search.slots(posted, vocab, search.terms_frame(spark, SEARCHES))
 
 
 def search_slots(spark: SparkSession, root: str) -> DataFrame:
@@ -125,10 +128,7 @@ def excerpt_text(spark: SparkSession, root: str) -> DataFrame:
 
 
 def search_top(spark: SparkSession, root: str) -> DataFrame:
-    docs = table(spark, root, "documents")
-    posted = _posted(spark, root)
-    full = docs.select("doc_id", "text", F.lit(0).alias("body_start")).join(_sized(docs, posted), "doc_id")
-    hits = search.search(full, posted, index.vocabulary(posted), SEARCHES)
+    hits = search.search(*_index(spark, root), SEARCHES)
     return hits.select("query_id", "rank", "doc_id", "coverage", "freq", "token_count", "score", F.array_join("excerpts", " | ").alias("excerpts"))
 
 
@@ -159,6 +159,53 @@ def clean_and_chunk(spark: SparkSession, root: str) -> DataFrame:
     return pages.pack_pages(clean_pages(spark, root))
 
 
+def _source_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Documents as pages: the source of a document is the paged source, its number the page's. Their lines repeat, and columns of their tables are rows of dots."""
+    d = table(spark, root, "documents").where("source IS NOT NULL AND text IS NOT NULL")
+    return d.select(F.col("source").alias("source_id"), F.col("doc_id").cast("int").alias("page_no"), F.replace("text", F.lit(" | "), F.lit(" ..... ")).alias("text"))
+
+
+def boilerplate_of_sources(spark: SparkSession, root: str) -> DataFrame:
+    return pages.boilerplate(pages.line_stats(_source_pages(spark, root)))
+
+
+def clean_pages_of_sources(spark: SparkSession, root: str) -> DataFrame:
+    return pages.clean_pages(_source_pages(spark, root))
+
+
+def contents_rows(spark: SparkSession, root: str) -> DataFrame:
+    rows = pages.page_lines(_source_pages(spark, root))
+    return rows.where(rules.is_contents_row("line")).groupBy("source_id").agg(F.count("*").alias("rows"))
+
+
+def page_markers(spark: SparkSession, root: str) -> DataFrame:
+    """Numbers of tables' rows as pages, so that markers are many."""
+    d = table(spark, root, "documents").select("doc_id", F.concat(F.lit("  PAGE \u00a0"), (F.col("doc_id") % 40).cast("string"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" of "), F.col("n_chars").cast("string"))).when(F.col("doc_id") % 3 == 1, F.lit(" or so")).otherwise("")).alias("line"))
+    return d.where("line IS NOT NULL").select("doc_id", rules.is_page_marker(rules.normal_line("line")).alias("marker"))
+
+
+def _extracted(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks as texts that a reader gave, every fifth length by OCR."""
+    raw = _raw(spark, root)
+    return raw.select("source_id", F.concat(F.lit("Part ("), "source_id", F.lit(")")).alias("stem"), F.concat("source_id", F.lit(".txt")).alias("file"), "text", F.coalesce(F.length("text") % 5 == 0, F.lit(False)).alias("used_ocr"),
+        F.array().cast("array<struct<page: int, idx: int, content: binary>>").alias("images"), F.lit(None).cast("string").alias("error"))
+
+
+def ingest_documents(spark: SparkSession, root: str) -> DataFrame:
+    made = ingest.to_documents(_extracted(spark, root), "site/", "2024-01-01T00:00:00Z", strict_pages=True)
+    return made.select("source_id", "name", "title", "parent", "pages", "content")
+
+
+def ingest_failures(spark: SparkSession, root: str) -> DataFrame:
+    sources = _extracted(spark, root)
+    return ingest.failures(sources, ingest.to_documents(sources, "site", "", strict_pages=True))
+
+
+def ingest_summary(spark: SparkSession, root: str) -> DataFrame:
+    sources = _extracted(spark, root)
+    return ingest.summary(sources, ingest.to_documents(sources, "site", "", strict_pages=True))
+
+
 def chain_next(spark: SparkSession, root: str) -> DataFrame:
     return index.next_in_family(_docs(spark, root)).select("doc_id", "stem", "next_stem")
 
@@ -207,13 +254,13 @@ def name_collisions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _images(spark: SparkSession, root: str) -> DataFrame:
-    """Texts as image bytes: the source is a document's source, the page its number within fives of thousands."""
+    """Texts, ten times over, as image bytes: the source is a document's source, the page its number within fives of thousands."""
     d = table(spark, root, "documents").where("source IS NOT NULL AND text IS NOT NULL")
-    return d.select(F.col("source").alias("source_id"), (F.col("doc_id") % 50).cast("int").alias("page"), F.col("doc_id").cast("int").alias("idx"), F.col("text").cast("binary").alias("content"))
+    return d.select(F.col("source").alias("source_id"), (F.col("doc_id") % 50).cast("int").alias("page"), F.col("doc_id").cast("int").alias("idx"), F.repeat("text", 10).cast("binary").alias("content"))
 
 
 def asset_select(spark: SparkSession, root: str) -> DataFrame:
-    return pages.select_images(_images(spark, root), least_bytes=200, most=30)
+    return pages.select_images(_images(spark, root))
 
 
 def asset_range_join(spark: SparkSession, root: str) -> DataFrame:
@@ -239,6 +286,6 @@ QUERIES: dict[str, Query] = {
     for f in (
         tokenize_documents, tokenize_bodies, postings_build, doc_lengths, vocabulary_stats, search_slots, proximity_anchors, excerpt_windows, excerpt_text, search_top, stopword_filter,
         line_stats, boilerplate_lines, clean_pages, chunk_pages, clean_and_chunk, chain_next, list_docs, resources, header_parse, header_roundtrip, slugify, route_sources, batch_summary,
-        name_chunks, name_collisions, asset_select, asset_range_join,
+        name_chunks, name_collisions, asset_select, asset_range_join, boilerplate_of_sources, clean_pages_of_sources, contents_rows, page_markers, ingest_documents, ingest_failures, ingest_summary,
     )
 }

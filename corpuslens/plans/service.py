@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import os
 import threading
 import uuid
 from dataclasses import dataclass
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.text import query_terms, safe_name
 from corpuslens.operators.index import next_in_family, write_index
 from corpuslens.operators.search import HITS, search
-from corpuslens.sources.bundle import read_bundle
+from corpuslens.sources.bundle import file_system, read_bundle
 
 
 @dataclass(frozen=True)
@@ -46,6 +45,13 @@ class Version:
     vocab: DataFrame
     documents: int
     terms: int
+    path: str = ""
+
+
+#: How to use the service, for those who ask it.
+USAGE = """Search by a few exact words: names of parts, products, codes, actions. Each word is matched by itself, also inside longer words and misspelt;
+documents with most of the words come first. Read a hit's whole text by its address ({scheme}://docs/...), its diagrams by theirs; a long document
+continues at the address that its end names. List the titles to see what there is; reload after documents have changed."""
 
 
 def build_version(docs: DataFrame, path: str) -> Version:
@@ -58,17 +64,19 @@ def build_version(docs: DataFrame, path: str) -> Version:
 
 def open_version(spark: SparkSession, path: str) -> Version:
     docs, posted, vocab = (spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "vocab"))
-    return Version(docs, posted, vocab, docs.count(), vocab.count())
+    return Version(docs, posted, vocab, docs.count(), vocab.count(), path)
 
 
 class KnowledgeBase:
     """Queries over the documents of a bundle folder, or of a table given as a function.
 
     A reload builds a new version beside the old one and then swaps them; if it fails, the old one stays in use. Excerpts and
-    resources come from the version that the search used.
+    resources come from the version that the search used. The `keep` versions before the one in use are kept for searches that have
+    begun, older ones are removed.
     """
 
-    def __init__(self, spark: SparkSession, bundle, index_root: str, scheme: str = "corpus", image_folder: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, bundle, index_root: str, scheme: str = "corpus", image_folder: str | None = None, keep: int = 2) -> None:
+        self.keep, self._past = keep, []
         self.spark, self.scheme, self.index_root, self.image_folder = spark, scheme, index_root.rstrip("/"), image_folder
         self._load = bundle if callable(bundle) else lambda: read_bundle(spark, bundle)
         self._lock = threading.Lock()
@@ -77,6 +85,10 @@ class KnowledgeBase:
     def _build(self) -> Version:
         return build_version(self._load(), f"{self.index_root}/version-{uuid.uuid4().hex}")
 
+    def info(self) -> dict:
+        """Name, capabilities and directions for use of the service."""
+        return {"name": "corpuslens", "capabilities": {"tools": ["search", "list", "reload", "ping"], "resources": [f"{self.scheme}://docs/", f"{self.scheme}://images/"]}, "usage": USAGE.format(scheme=self.scheme)}
+
     def ping(self) -> ToolResult:
         return ToolResult("The document search is running.")
 
@@ -86,7 +98,13 @@ class KnowledgeBase:
         except Exception as error:  # noqa: BLE001  the version in use stays
             return ToolResult(f"Reload failed, the index in use stays: {str(error).splitlines()[0]}", True)
         with self._lock:
+            self._past.append(self._current)
             self._current = new
+            old = self._past[: -self.keep] if self.keep else self._past
+            self._past = self._past[len(old) :]
+        for version in old:  # a search that began before has had the versions kept in between to end
+            system, path = file_system(version.path)
+            system.delete_dir(path)
         return ToolResult(f"Index rebuilt: {new.documents} documents, {new.terms} terms.")
 
     @property
@@ -132,11 +150,17 @@ class KnowledgeBase:
         return titles_by_type(self.version.docs)
 
     def list_docs(self) -> ToolResult:
-        rows = self.titles().orderBy("doc_type").collect()  # the listing is the whole bundle by contract
-        if not rows:
+        docs = self.version.docs.select("doc_type", "title")
+        total = self.version.documents
+        if not total:
             return ToolResult("The bundle has no documents.")
-        total = sum(len(r["titles"]) for r in rows)
-        return ToolResult("\n\n".join([f"{total} documents:"] + [f"{r['doc_type']}:\n" + "\n".join(f"- {t}" for t in r["titles"]) for r in rows]))
+        lines, kind = [f"{total} documents:"], object()
+        for r in docs.orderBy("doc_type", "title").toLocalIterator():  # the listing is the whole bundle by contract; it comes partition by partition
+            if r["doc_type"] != kind:
+                kind = r["doc_type"]
+                lines += ["", f"{kind}:"]
+            lines.append(f"- {r['title']}")
+        return ToolResult("\n".join(lines))
 
     def resources(self) -> DataFrame:
         return resources(self.version.docs, self.scheme)
@@ -148,10 +172,12 @@ class KnowledgeBase:
         if not safe_name(name):
             raise ResourceError("invalid", uri)
         if kind == "images":
-            path = os.path.join(self.image_folder or "", name)
-            if not self.image_folder or not os.path.isfile(path):
+            if not self.image_folder:
+                raise ResourceError("missing", uri)
+            system, folder = file_system(self.image_folder)  # shared storage or a folder of this machine
+            if not system.get_file_info(f"{folder}/{name}").is_file:
                 raise ResourceError("missing", uri)
-            with open(path, "rb") as f:
+            with system.open_input_stream(f"{folder}/{name}") as f:
                 return Resource(uri, "image/png", blob=base64.b64encode(f.read()).decode())
         rows = self.version.docs.where(F.col("stem") == name).orderBy("doc_key").select("content", "next_stem").limit(1).collect()
         if not rows:

@@ -132,6 +132,18 @@ _CLEAN = rf"""{_LINES},
     clean AS (SELECT p.source_id, p.page_no, coalesce(t.text, '') AS text FROM pages p LEFT JOIN texts t ON p.source_id = t.source_id AND p.page_no = t.page_no)"""
 
 
+# documents as pages of their source, with dots for the bars of tables
+_SOURCE_PAGES = "pages AS (SELECT source AS source_id, CAST(doc_id AS INT) AS page_no, replace(text, ' | ', ' ..... ') AS text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL)"
+
+
+def _over_sources(sql: str) -> str:
+    return sql.replace(_PAGES, _SOURCE_PAGES)
+
+
+_OCR = "'Part (' || source_id || '#' || chunk_no || ')' || chr(10) || chr(10) || text"
+_EXTRACTED = _PAGES.replace("chunk_no AS source_id, text FROM", f"chunk_no AS source_id, CASE WHEN length(text) % 5 = 0 THEN {_OCR} ELSE text END AS text, length(text) % 5 = 0 AS ocr FROM")
+
+
 def _pack(source: str) -> str:
     """Packing as a recursive walk over the parts of each source."""
     trim = lambda x: f"regexp_replace(regexp_replace({x}, '^{_SPACE}+', ''), '{_SPACE}+$', '')"
@@ -155,6 +167,12 @@ def _pack(source: str) -> str:
     FROM placed GROUP BY ALL"""
 
 
+def _packed(source: str) -> str:
+    """The same as a table `packed`."""
+    walk, _, last = _pack(source).rpartition("\n    SELECT source_id, chunk_no,")
+    return f"{walk},\n    packed AS (SELECT source_id, chunk_no,{last})"
+
+
 _META = "meta AS (SELECT DISTINCT * EXCLUDE (next_stem) FROM docs)"
 
 
@@ -165,13 +183,13 @@ def _field(name: str, block: str = "block") -> str:
 _IMAGES = """
     images AS (
         SELECT source AS source_id, CAST(doc_id % 50 AS INT) AS page, CAST(doc_id AS INT) AS idx, text FROM documents
-        WHERE source IS NOT NULL AND text IS NOT NULL AND strlen(text) >= 200),
+        WHERE source IS NOT NULL AND text IS NOT NULL AND strlen(text) * 10 >= 10240),
     one AS (SELECT * FROM images QUALIFY row_number() OVER (PARTITION BY source_id, text ORDER BY page, idx) = 1),
     numbered AS (
         SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY page, idx) AS n, row_number() OVER (PARTITION BY source_id, page ORDER BY idx) AS k FROM one),
     chosen AS (
-        SELECT source_id, page, idx, n <= 30 AS kept,
-               CASE WHEN n <= 30 THEN replace(lower(source_id), ' ', '-') || printf('-p%03d-%d.png', page, k) END AS name
+        SELECT source_id, page, idx, n <= 500 AS kept,
+               CASE WHEN n <= 500 THEN replace(lower(source_id), ' ', '-') || printf('-p%03d-%d.png', page, k) END AS name
         FROM numbered)"""
 
 SQL: dict[str, str] = {
@@ -213,6 +231,29 @@ SQL: dict[str, str] = {
     "clean_pages": f"WITH {_CLEAN} SELECT source_id, page_no, text FROM clean",
     "chunk_pages": f"WITH RECURSIVE {_PAGES}, {_pack('pages')}",
     "clean_and_chunk": f"WITH RECURSIVE {_CLEAN}, {_pack('clean')}",
+    "boilerplate_of_sources": f"WITH {_over_sources(_LINES)} SELECT source_id, norm FROM boiler",
+    "clean_pages_of_sources": f"WITH {_over_sources(_CLEAN)} SELECT source_id, page_no, text FROM clean",
+    "contents_rows": f"WITH {_over_sources(_LINES)} SELECT source_id, count(*) AS rows FROM lines WHERE contains(line, '.....') GROUP BY 1",
+    "page_markers": """
+        SELECT doc_id, doc_id % 3 <> 1 AS marker FROM documents WHERE doc_id % 3 <> 0 OR n_chars IS NOT NULL""",
+    "ingest_documents": f"""
+        WITH RECURSIVE {_CLEAN.replace(_PAGES, _EXTRACTED)}, {_packed('clean')},
+        part AS (SELECT p.*, r.ocr, count(*) OVER (PARTITION BY p.source_id) = 1 AS alone, 'Part (' || p.source_id || ')' AS stem, 'part-' || p.source_id AS slug FROM packed p JOIN raw r ON r.source_id = p.source_id),
+        based AS (SELECT *, CASE WHEN alone THEN slug ELSE slug || printf('-p%03d-%03d', first_page, last_page) END AS base FROM part),
+        nth AS (SELECT *, row_number() OVER (PARTITION BY base, source_id ORDER BY chunk_no) AS n FROM based),
+        named AS (
+            SELECT *, CASE WHEN n > 1 THEN base || '-' || n ELSE base END AS name, CASE WHEN alone THEN stem ELSE stem || ' (pages ' || first_page || '-' || last_page || ')' END AS title,
+                   CASE WHEN NOT alone THEN slug END AS parent, CASE WHEN NOT alone THEN first_page || '-' || last_page END AS pages FROM nth)
+        SELECT source_id, name, title, parent, pages,
+               '---' || chr(10) || concat_ws(chr(10), 'type: technical-note', 'title: ' || title, 'description: Extracted from a source file.', 'resource: site/' || source_id || '.txt', 'parent: ' || parent, 'pages: ' || pages,
+                   'tags: [extracted, ' || CASE WHEN ocr THEN 'ocr, ' ELSE '' END || 'technical-note]', 'timestamp: 2024-01-01T00:00:00Z') || chr(10) || '---' || chr(10) || chr(10) || text AS content
+        FROM named""",
+    "ingest_failures": f"""
+        WITH RECURSIVE {_CLEAN.replace(_PAGES, _EXTRACTED)}, {_packed('clean')}
+        SELECT source_id, CASE WHEN coalesce(ocr, false) THEN 'no text, even by OCR' ELSE 'no text' END AS error FROM raw WHERE source_id NOT IN (SELECT source_id FROM packed)""",
+    "ingest_summary": f"""
+        WITH RECURSIVE {_CLEAN.replace(_PAGES, _EXTRACTED)}, {_packed('clean')}
+        SELECT CASE WHEN source_id IN (SELECT source_id FROM packed) THEN 'ok' ELSE 'failed' END AS status, count(*) AS sources FROM raw GROUP BY 1""",
     "chain_next": f"""
         WITH {_META}, started AS (SELECT *, TRY_CAST(trim(split_part(pages, '-', 1)) AS INT) AS s FROM meta)
         SELECT doc_id, stem, CASE WHEN parent IS NOT NULL AND s IS NOT NULL THEN

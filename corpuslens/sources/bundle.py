@@ -115,17 +115,31 @@ def collisions(named: DataFrame) -> DataFrame:
     return named.groupBy("name").agg(F.count_distinct("source_id").alias("sources")).where("sources > 1")
 
 
+def file_system(folder: str):
+    """(file system, path in it) of a folder: one named by a URI such as `hdfs://` or `s3://`, else the machine's own."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
 def write_files(named: DataFrame, folder: str) -> None:
-    """Write each row's `content` as `<name>.md`; for bundles that are read as files. Rows are written where they lie."""
+    """Write each row's `content` as `<name>.md`; for bundles that are read as files.
 
-    def run(rows) -> None:
-        import os
+    Rows are written where they lie, so on a cluster the folder has to be one that all executors share, given as a URI or mounted on
+    each; a folder of one machine is refused there. A file is written whole or not at all, so that a task may run again.
+    """
+    master = named.sparkSession.sparkContext.master
+    if "://" not in folder and not master.startswith("local") and not named.sparkSession.conf.get("corpuslens.shared.mount", None):
+        raise ValueError(f"{folder}: on a cluster name the folder by a URI, or set corpuslens.shared.mount if it is mounted on all executors")
 
+    def run(rows) -> None:
+        system, path = file_system(folder)
+        system.create_dir(path, recursive=True)
         for row in rows:
             if not safe_name(row["name"]):
                 raise ValueError(f"unsafe name: {row['name']!r}")
-            os.makedirs(folder, exist_ok=True)
-            with open(os.path.join(folder, row["name"] + ".md"), "w", encoding="utf-8", newline="") as f:
-                f.write(row["content"])
+            with system.open_output_stream(f"{path}/{row['name']}.md.part") as f:
+                f.write(row["content"].encode())
+            system.move(f"{path}/{row['name']}.md.part", f"{path}/{row['name']}.md")
 
     named.select("name", "content").foreachPartition(run)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import kind_of
+from corpuslens.functions.text import EXTENSIONS, kind_of
 from corpuslens.operators.pages import chunk_images, clean_pages, pack_pages, select_images, split_pages
 from corpuslens.sources.bundle import name_chunks, render, stem_of, tags
 
@@ -124,9 +124,16 @@ def extract(kind: str, content: bytes, tools: Extractors, force_layout: bool = F
         return Extracted(error=f"{type(error).__name__}: {error}"[:500])
 
 
+#: Names of the files that are taken in, with letters of either case.
+_TAKEN = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS) + "}"
+
+
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """`path, kind, content` of the files at `path`; kind is null for files that aren't taken in."""
-    return spark.read.format("binaryFile").load(path).select("path", kind_of("path").alias("kind"), "content")
+    """`path, kind, content` of the files at `path`; kind and content are null for files that aren't taken in, which aren't read."""
+    files = spark.read.format("binaryFile").load(path)
+    others = files.select("path").where(kind_of("path").isNull())  # names alone don't open a file
+    taken = spark.read.format("binaryFile").option("pathGlobFilter", _TAKEN).load(path)
+    return taken.select("path", kind_of("path").alias("kind"), "content").where("kind IS NOT NULL").unionByName(others.select("path", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("binary").alias("content")))
 
 
 def extract_sources(files: DataFrame, tools: Extractors | None = None, force_layout: bool = False) -> DataFrame:

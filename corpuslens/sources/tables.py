@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +18,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder the session names and read it from there.
 
     Used where a result of costly Python work is read more than once. The folder comes from
-    `spark.checkpoint.dir`; only where that is unset (tests on one machine) a temporary one is made.
+    `spark.checkpoint.dir`; only where that is unset on one machine, as in tests, a temporary one is made.
     The files survive the loss of any executor.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuslens-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir`. On one machine, where it may be unset, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="corpuslens-checkpoint-")
+
+
 def settled(df: DataFrame, most_rows: int) -> DataFrame:
     """`df` computed once: as rows of the driver if there are at most so many, else written out by `checkpointed`."""
     rows = df.limit(most_rows + 1).toArrow()
