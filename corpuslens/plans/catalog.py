@@ -206,6 +206,37 @@ def ingest_summary(spark: SparkSession, root: str) -> DataFrame:
     return ingest.summary(sources, ingest.to_documents(sources, "site", "", strict_pages=True))
 
 
+def bundle_files(spark: SparkSession, root: str) -> DataFrame:
+    """Documents of sources written as files of a bundle, and read from there."""
+    folder = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    made = ingest_documents(spark, root)
+    bundle.write_files(made.select(F.replace("name", F.lit("#"), F.lit("-")).alias("name"), "content"), folder)
+    return bundle.read_bundle(spark, folder).select("stem", "title", "doc_type", "resource", "parent", "pages", "body_start")
+
+
+_services: dict[tuple[str, str], service.KnowledgeBase] = {}
+
+
+def _service(spark: SparkSession, root: str) -> service.KnowledgeBase:
+    """The service over the bundle of `documents_okf`, started once in a session."""
+    at = spark.sparkContext.applicationId, root
+    if at not in _services:
+        files = table(spark, root, "documents_okf").select("path", "content").distinct()
+        _services[at] = service.KnowledgeBase(spark, lambda: bundle.parse(files), f"{shared_folder(spark)}/service-{uuid.uuid4().hex}")
+    return _services[at]
+
+
+def service_search(spark: SparkSession, root: str) -> DataFrame:
+    found = _service(spark, root).search(SEARCHES[1])
+    return found.select("rank", "stem", "title", "coverage", "freq", "token_count", "score", "continues")
+
+
+def service_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Documents and words of the version in use, by the service's own count, with its documents' chains."""
+    v = _service(spark, root).version
+    return v.docs.select("stem", "next_stem", F.lit(v.documents).alias("documents"), F.lit(v.terms).alias("terms"))
+
+
 def chain_next(spark: SparkSession, root: str) -> DataFrame:
     return index.next_in_family(_docs(spark, root)).select("doc_id", "stem", "next_stem")
 
@@ -287,5 +318,6 @@ QUERIES: dict[str, Query] = {
         tokenize_documents, tokenize_bodies, postings_build, doc_lengths, vocabulary_stats, search_slots, proximity_anchors, excerpt_windows, excerpt_text, search_top, stopword_filter,
         line_stats, boilerplate_lines, clean_pages, chunk_pages, clean_and_chunk, chain_next, list_docs, resources, header_parse, header_roundtrip, slugify, route_sources, batch_summary,
         name_chunks, name_collisions, asset_select, asset_range_join, boilerplate_of_sources, clean_pages_of_sources, contents_rows, page_markers, ingest_documents, ingest_failures, ingest_summary,
+        bundle_files, service_search, service_documents,
     )
 }

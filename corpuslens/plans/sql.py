@@ -192,6 +192,37 @@ _IMAGES = """
                CASE WHEN n <= 500 THEN replace(lower(source_id), ' ', '-') || printf('-p%03d-%d.png', page, k) END AS name
         FROM numbered)"""
 
+_INGESTED = f"""
+        WITH RECURSIVE {_CLEAN.replace(_PAGES, _EXTRACTED)}, {_packed('clean')},
+        part AS (SELECT p.*, r.ocr, count(*) OVER (PARTITION BY p.source_id) = 1 AS alone, 'Part (' || p.source_id || ')' AS stem, 'part-' || p.source_id AS slug FROM packed p JOIN raw r ON r.source_id = p.source_id),
+        based AS (SELECT *, CASE WHEN alone THEN slug ELSE slug || printf('-p%03d-%03d', first_page, last_page) END AS base FROM part),
+        nth AS (SELECT *, row_number() OVER (PARTITION BY base, source_id ORDER BY chunk_no) AS n FROM based),
+        named AS (
+            SELECT *, CASE WHEN n > 1 THEN base || '-' || n ELSE base END AS name, CASE WHEN alone THEN stem ELSE stem || ' (pages ' || first_page || '-' || last_page || ')' END AS title,
+                   CASE WHEN NOT alone THEN slug END AS parent, CASE WHEN NOT alone THEN first_page || '-' || last_page END AS pages FROM nth)
+        SELECT source_id, name, title, parent, pages,
+               '---' || chr(10) || concat_ws(chr(10), 'type: technical-note', 'title: ' || title, 'description: Extracted from a source file.', 'resource: site/' || source_id || '.txt', 'parent: ' || parent, 'pages: ' || pages,
+                   'tags: [extracted, ' || CASE WHEN ocr THEN 'ocr, ' ELSE '' END || 'technical-note]', 'timestamp: 2024-01-01T00:00:00Z') || chr(10) || '---' || chr(10) || chr(10) || text AS content
+        FROM named"""
+
+_HEADERS = f"""
+        WITH files AS (SELECT DISTINCT path, content FROM documents_okf WHERE content IS NOT NULL),
+        named AS (SELECT *, regexp_replace(split_part(path, '/', -1), '^(.+)\\.[^.]*$', '\\1') AS stem,
+                  CASE WHEN starts_with(content, '---' || chr(10)) AND contains(content[5:], chr(10) || '---') THEN split_part(content[5:], chr(10) || '---', 1) END AS block FROM files)
+        SELECT path, stem, coalesce({_field('title')}, stem) AS title, coalesce({_field('type')}, 'uncategorised') AS doc_type, coalesce({_field('resource')}, '') AS resource,
+               {_field('description')} AS description, {_field('parent')} AS parent, {_field('pages')} AS pages,
+               coalesce(array_to_string(list_filter(list_transform(string_split(trim({_field('images')}, '[]'), ','), lambda x: trim(x)), lambda x: x <> ''), ', '), '') AS images,
+               CAST(CASE WHEN contains(content, chr(10) || '---' || chr(10)) THEN strlen(split_part(content, chr(10) || '---' || chr(10), 1)) + 5 ELSE 0 END AS INT) AS body_start
+        FROM named"""
+
+# the bundle of documents_okf, indexed by body
+_PARSED = f"""head AS ({_HEADERS}),
+    parsed AS (
+        SELECT h.stem || chr(1) || h.path AS doc_id, h.*, decode(encode(f.content)[h.body_start + 1:]) AS body FROM head h JOIN (SELECT DISTINCT path, content FROM documents_okf WHERE content IS NOT NULL) f ON f.path = h.path)"""
+_BUNDLE = _POSTED.replace(_DOCS, _PARSED + "," + _tokens("SELECT doc_id, body AS text, body_start AS base FROM parsed", "doc_id")).replace("FROM documents d", "FROM parsed d")
+_CHAINS = """started AS (SELECT *, TRY_CAST(trim(split_part(pages, '-', 1)) AS INT) AS s FROM parsed),
+        chained AS (SELECT doc_id, stem, title, CASE WHEN parent IS NOT NULL AND s IS NOT NULL THEN lead(stem) OVER (PARTITION BY parent, s IS NULL ORDER BY s, doc_id) END AS next_stem FROM started)"""
+
 SQL: dict[str, str] = {
     "p5_found": """
         SELECT lower(trim(term)) AS term FROM postings WHERE term IS NOT NULL
@@ -236,24 +267,22 @@ SQL: dict[str, str] = {
     "contents_rows": f"WITH {_over_sources(_LINES)} SELECT source_id, count(*) AS rows FROM lines WHERE contains(line, '.....') GROUP BY 1",
     "page_markers": """
         SELECT doc_id, doc_id % 3 <> 1 AS marker FROM documents WHERE doc_id % 3 <> 0 OR n_chars IS NOT NULL""",
-    "ingest_documents": f"""
-        WITH RECURSIVE {_CLEAN.replace(_PAGES, _EXTRACTED)}, {_packed('clean')},
-        part AS (SELECT p.*, r.ocr, count(*) OVER (PARTITION BY p.source_id) = 1 AS alone, 'Part (' || p.source_id || ')' AS stem, 'part-' || p.source_id AS slug FROM packed p JOIN raw r ON r.source_id = p.source_id),
-        based AS (SELECT *, CASE WHEN alone THEN slug ELSE slug || printf('-p%03d-%03d', first_page, last_page) END AS base FROM part),
-        nth AS (SELECT *, row_number() OVER (PARTITION BY base, source_id ORDER BY chunk_no) AS n FROM based),
-        named AS (
-            SELECT *, CASE WHEN n > 1 THEN base || '-' || n ELSE base END AS name, CASE WHEN alone THEN stem ELSE stem || ' (pages ' || first_page || '-' || last_page || ')' END AS title,
-                   CASE WHEN NOT alone THEN slug END AS parent, CASE WHEN NOT alone THEN first_page || '-' || last_page END AS pages FROM nth)
-        SELECT source_id, name, title, parent, pages,
-               '---' || chr(10) || concat_ws(chr(10), 'type: technical-note', 'title: ' || title, 'description: Extracted from a source file.', 'resource: site/' || source_id || '.txt', 'parent: ' || parent, 'pages: ' || pages,
-                   'tags: [extracted, ' || CASE WHEN ocr THEN 'ocr, ' ELSE '' END || 'technical-note]', 'timestamp: 2024-01-01T00:00:00Z') || chr(10) || '---' || chr(10) || chr(10) || text AS content
-        FROM named""",
+    "ingest_documents": _INGESTED,
     "ingest_failures": f"""
         WITH RECURSIVE {_CLEAN.replace(_PAGES, _EXTRACTED)}, {_packed('clean')}
         SELECT source_id, CASE WHEN coalesce(ocr, false) THEN 'no text, even by OCR' ELSE 'no text' END AS error FROM raw WHERE source_id NOT IN (SELECT source_id FROM packed)""",
     "ingest_summary": f"""
         WITH RECURSIVE {_CLEAN.replace(_PAGES, _EXTRACTED)}, {_packed('clean')}
         SELECT CASE WHEN source_id IN (SELECT source_id FROM packed) THEN 'ok' ELSE 'failed' END AS status, count(*) AS sources FROM raw GROUP BY 1""",
+    "bundle_files": f"""
+        WITH made AS ({_INGESTED})
+        SELECT replace(name, '#', '-') AS stem, title, 'technical-note' AS doc_type, 'site/' || source_id || '.txt' AS resource, parent, pages, CAST(strlen(split_part(content, chr(10) || '---' || chr(10), 1)) + 5 AS INT) AS body_start FROM made""",
+    "service_search": f"""{_slots({1: _ALL[1]}).replace(_POSTED, _BUNDLE)}, {_HITS},
+        {_CHAINS}
+        SELECT rank, stem, title, coverage, freq, token_count, score, next_stem AS continues FROM numbered JOIN chained USING (doc_id) WHERE rank <= 20""",
+    "service_documents": f"""WITH {_BUNDLE},
+        {_CHAINS}
+        SELECT stem, next_stem, (SELECT count(*) FROM parsed) AS documents, (SELECT count(DISTINCT term) FROM posted) AS terms FROM chained""",
     "chain_next": f"""
         WITH {_META}, started AS (SELECT *, TRY_CAST(trim(split_part(pages, '-', 1)) AS INT) AS s FROM meta)
         SELECT doc_id, stem, CASE WHEN parent IS NOT NULL AND s IS NOT NULL THEN
@@ -262,15 +291,7 @@ SQL: dict[str, str] = {
     "resources": f"""
         WITH {_META} SELECT 'corpus://docs/' || stem AS uri, stem AS name, title, 'text/markdown' AS mime_type, description FROM meta
         UNION ALL SELECT 'corpus://images/' || i, i, 'Diagram from ' || title, 'image/png', NULL FROM (SELECT title, unnest(images) AS i FROM meta)""",
-    "header_parse": f"""
-        WITH files AS (SELECT DISTINCT path, content FROM documents_okf WHERE content IS NOT NULL),
-        named AS (SELECT *, regexp_replace(split_part(path, '/', -1), '^(.+)\\.[^.]*$', '\\1') AS stem,
-                  CASE WHEN starts_with(content, '---' || chr(10)) AND contains(content[5:], chr(10) || '---') THEN split_part(content[5:], chr(10) || '---', 1) END AS block FROM files)
-        SELECT path, stem, coalesce({_field('title')}, stem) AS title, coalesce({_field('type')}, 'uncategorised') AS doc_type, coalesce({_field('resource')}, '') AS resource,
-               {_field('description')} AS description, {_field('parent')} AS parent, {_field('pages')} AS pages,
-               coalesce(array_to_string(list_filter(list_transform(string_split(trim({_field('images')}, '[]'), ','), lambda x: trim(x)), lambda x: x <> ''), ', '), '') AS images,
-               CAST(CASE WHEN contains(content, chr(10) || '---' || chr(10)) THEN strlen(split_part(content, chr(10) || '---' || chr(10), 1)) + 5 ELSE 0 END AS INT) AS body_start
-        FROM named""",
+    "header_parse": _HEADERS,
     "header_roundtrip": f"""
         WITH {_META}, r AS (SELECT *, coalesce(array_to_string(images, ', '), '') AS im FROM meta WHERE title IS NOT NULL)
         SELECT path, trim(title) AS title, coalesce(trim(doc_type), 'uncategorised') AS doc_type, coalesce(trim(resource), '') AS resource, trim(description) AS description, trim(parent) AS parent, trim(pages) AS pages, im AS images,

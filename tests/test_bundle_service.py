@@ -107,6 +107,33 @@ def test_service(kb):
     assert k.reload().is_error and k.search("fresh").count() == 1
 
 
+def test_old_versions_go(spark, tmp_path):
+    (tmp_path / "bundle").mkdir()
+    folder_of(tmp_path / "bundle", one__md=ONE)
+    k = KnowledgeBase(spark, str(tmp_path / "bundle"), str(tmp_path / "index"), keep=1)
+    for _ in range(3):
+        assert not k.reload().is_error
+    assert len(list((tmp_path / "index").iterdir())) == 2 and k.search("sensor").count() == 1
+    assert k.info()["name"] == "corpuslens" and "corpus://docs/" in k.info()["usage"]
+
+
+def test_files_are_written_whole_and_again(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "ü\n"), ("b", "")], "name string, content string")
+    for folder in (str(tmp_path / "x" / "y"), f"file://{tmp_path}/z"):
+        bundle.write_files(docs, folder)
+        bundle.write_files(docs, folder)
+    for at in (tmp_path / "x" / "y", tmp_path / "z"):
+        assert sorted((p.name, p.read_bytes()) for p in at.iterdir()) == [("a.md", "ü\n".encode()), ("b.md", b"")]
+    with pytest.raises(Exception, match="unsafe"):
+        bundle.write_files(spark.createDataFrame([("../a", "x")], "name string, content string"), str(tmp_path))
+
+
+def test_files_that_are_not_taken_in_are_not_read(spark, tmp_path):
+    folder_of(tmp_path, a__TXT="text", b__html="x" * 100)
+    got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["content"]) for r in ingest.read_sources(spark, str(tmp_path)).collect()}
+    assert got == {"a.TXT": ("text", b"text"), "b.html": (None, None)}
+
+
 def test_twenty_of_many(spark, tmp_path):
     (tmp_path / "bundle").mkdir()
     folder_of(tmp_path / "bundle", **{f"d{i:02}__md": f"topic number {i}" for i in range(25)})

@@ -40,6 +40,37 @@ def test_core_query_equals_sql(spark, name):
     against_sql(spark, name, catalog.QUERIES[name], catalog.SQL[name], DATA)
 
 
+def test_only_the_subpackage_may_be_missing(monkeypatch):
+    import importlib
+    import sys
+
+    with monkeypatch.context() as m:
+        m.setitem(sys.modules, "corpuslens.llm", None)
+        assert set(importlib.reload(e).queries()) == set(catalog.QUERIES)
+    try:
+        from corpuslens.llm import queries  # noqa: F401
+    except ImportError:
+        return
+    with monkeypatch.context() as m:
+        m.delattr(sys.modules["corpuslens.llm"], "queries")
+        m.setitem(sys.modules, "corpuslens.llm.queries", None)
+        with pytest.raises(ImportError, match="queries"):
+            importlib.reload(e)
+    importlib.reload(e)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from corpuslens.sources.tables import shared_folder
+
+    on = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(on("spark://a", "hdfs://x")) == "hdfs://x" and os.path.isdir(shared_folder(on("local[2]", None)))
+    for master in ("spark://a", "local-cluster[2,1,900]", "yarn"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(on(master, None))
+
+
 @HAS
 def test_entry(spark):
     assert e.entry(spark).count() > 0

@@ -118,3 +118,18 @@ def test_stream_postings(spark, tmp_path):
     source = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
     stream_postings(source, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_ranks_over_partitions_equal_one_order(spark):
+    import random
+
+    from corpuslens.operators.search import numbered
+
+    r = random.Random(1)
+    hits = [(q, d, r.randint(1, 2), r.randint(1, 5), 10, r.randint(0, 3)) for q in (1, 2, 3) for d in r.sample(range(500), 40 if q == 2 else 200)]
+    df = spark.createDataFrame(hits, "query_id long, doc_id long, coverage long, freq long, token_count long, score long").repartition(5)
+    got = {(x["query_id"], x["doc_id"]): x["rank"] for x in numbered(df).collect()}
+    for q in (1, 2, 3):
+        order = sorted((h for h in hits if h[0] == q), key=lambda h: (-h[2], -h[5], h[1]))
+        assert [got[q, h[1]] for h in order] == list(range(1, len(order) + 1))
+    assert numbered(df.limit(0)).count() == 0
