@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts into which a term's documents are split by the document's hash.
+from corpuslens.sources.tables import shuffle_partitions
+
+#: Parts at least into which a term's documents are split by the document's hash; as many as there are shuffle partitions, if these are more.
 DOC_PARTS = 256
 
 
@@ -15,7 +17,7 @@ def term_frequencies(postings: DataFrame, docs: DataFrame, rare_docs: int = 2, c
     Last-seen counters: rows are hash-partitioned by term and a hash part of the document and ordered by
     document and block, so a term's counter needs only the row before: another document than the last seen one
     adds a document, another block adds its freq. Parts of a term hold different documents, so their
-    counters are added; a term with a third of all rows is spread over DOC_PARTS tasks.
+    counters are added; a term with a third of all rows is spread over as many tasks.
 
     Terms are equal after trimming blanks and lower-casing. Rows with the same term, doc_id and block_no count
     once, with the freq of the one indexed last (on a tie the larger freq). Left out: null terms and rows
@@ -24,7 +26,8 @@ def term_frequencies(postings: DataFrame, docs: DataFrame, rare_docs: int = 2, c
     Empty tables give no rows; with an empty `docs` no term is common.
     """
     rows = postings.select(F.lower(F.trim("term")).alias("term"), F.col("doc_id").cast("long").alias("doc_id"), F.col("block_no").cast("long").alias("block_no"), F.coalesce("freq", F.lit(0)).cast("long").alias("freq"), "indexed_at")
-    rows = rows.where(F.col("term").isNotNull() & F.col("doc_id").isNotNull()).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(DOC_PARTS)))
+    parts = max(DOC_PARTS, shuffle_partitions(postings.sparkSession))
+    rows = rows.where(F.col("term").isNotNull() & F.col("doc_id").isNotNull()).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(parts)))
     seen = Window.partitionBy("term", "part").orderBy("doc_id", "block_no", F.desc_nulls_last("indexed_at"), F.desc("freq"))
     last_doc, last_block, first = F.lag("doc_id").over(seen), F.lag("block_no").over(seen), F.row_number().over(seen) == 1
     counted = rows.select("term", "part", "freq", (first | (F.col("doc_id") != last_doc)).alias("new_doc"), (first | (F.col("doc_id") != last_doc) | ~F.col("block_no").eqNullSafe(last_block)).alias("new_block"))

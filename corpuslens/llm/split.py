@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.sources.tables import checked_broadcast, checkpointed
+
 MAX_BYTES = 8192
 OVERLAP_CHARS = 200
 
@@ -112,8 +114,13 @@ def _split(frames: Iterator[pd.DataFrame], **limits) -> Iterator[pd.DataFrame]:
 
 
 def _once(chunks: DataFrame) -> DataFrame:
-    """Each (source_id, chunk_no) once: the row loaded last, then the larger text. Null keys are keys of their own."""
-    return chunks.groupBy("source_id", "chunk_no").agg(F.max_by(F.struct("first_page", "last_page", "text"), F.struct("loaded_at", F.coalesce(F.octet_length("text"), F.lit(-1)), "text", "first_page", "last_page")).alias("x")).select("source_id", "chunk_no", "x.*")
+    """Each (source_id, chunk_no) once: the row loaded last, then the larger text. Null keys are keys of their own. Only rows of keys that come more than once are brought together."""
+    twice = chunks.groupBy(F.col("source_id").alias("_source"), F.col("chunk_no").alias("_no")).count().where("count > 1").select("_source", "_no")
+    twice = checked_broadcast(checkpointed(twice))
+    same = F.col("source_id").eqNullSafe(F.col("_source")) & F.col("chunk_no").eqNullSafe(F.col("_no"))
+    order = F.struct("loaded_at", F.coalesce(F.octet_length("text"), F.lit(-1)), "text", "first_page", "last_page")
+    last = chunks.join(twice, same, "left_semi").groupBy("source_id", "chunk_no").agg(F.max_by(F.struct("first_page", "last_page", "text"), order).alias("x")).select("source_id", "chunk_no", "x.*")
+    return chunks.join(twice, same, "left_anti").select("source_id", "chunk_no", "first_page", "last_page", "text").unionByName(last)
 
 
 def oversized_pieces(chunks: DataFrame, max_bytes: int = MAX_BYTES, overlap: int = OVERLAP_CHARS) -> DataFrame:
