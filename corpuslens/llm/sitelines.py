@@ -92,7 +92,7 @@ class _Trees:
 
     def __init__(self, docs: DataFrame, min_chars: int, min_docs: int) -> None:
         self.bodies = _sited(docs)
-        self.lines = checkpointed(fewer(self.bodies.mapInArrow(_placed(min_chars), "node long, key binary, doc long")))
+        self.lines = checkpointed(self.bodies.mapInArrow(_placed(min_chars), "node long, key binary, doc long"))
         covered = self.lines.select("node", "doc").distinct().groupBy("node").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
         self.covering = checkpointed(fewer(covered))
         self.min_chars, self.min_docs = min_chars, min_docs
