@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import header_field, safe_name, slug
-from corpuslens.sources.tables import fresh
+from corpuslens.sources.tables import fresh, shuffle_partitions
 
 #: Value of a header's field where the field is missing; title takes the stem.
 DEFAULT_TYPE = "uncategorised"
@@ -73,7 +73,10 @@ def unreadable(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][dD]").option("recursiveFileLookup", "false").load(folder)
+    """`path, content` and more of the Markdown files. Spark would make a task of every few small files, and keeps each task in the driver; here tasks follow the
+    shuffle partitions, of which there are as many as the input needs."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][dD]").option("recursiveFileLookup", "false").load(folder)
+    return files.coalesce(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark)))
 
 
 def render(docs: DataFrame) -> Column:

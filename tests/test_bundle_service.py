@@ -73,6 +73,12 @@ def test_folder(spark, tmp_path):
         bundle.read_bundle(spark, str(tmp_path / "nowhere")).count()
 
 
+def test_tasks_follow_the_shuffle_partitions_and_not_the_number_of_files(spark, tmp_path):
+    path = folder_of(tmp_path, **{f"d{i:03}__md": f"---\ntitle: t{i}\n---\nx" for i in range(200)})
+    docs = bundle.read_bundle(spark, path)
+    assert docs.rdd.getNumPartitions() == 4 and sorted(r["title"] for r in docs.collect()) == sorted(f"t{i}" for i in range(200))
+
+
 @pytest.fixture
 def kb(spark, tmp_path):
     (tmp_path / "bundle").mkdir()
