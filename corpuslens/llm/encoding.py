@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.bodies import body, header
+from corpuslens.llm.compact import tiered
 from corpuslens.sources.tables import checkpointed, spread
 
 #: Legacy encodings in which UTF-8 is misread, and pairs (misread as, was) of one-byte encodings.
@@ -41,7 +42,7 @@ ONE_BYTE = (
 )
 
 #: How many times as frequent a place has to become by another reading to count as misread, as a logarithm; documents that a place
-#: has to stand in to be counted, places that are kept at most, and different characters by which a pair of encodings has to show.
+#: has to stand in to be counted, places that are kept in a dict at most (all others are kept packed), and different characters by which a pair of encodings has to show.
 GAIN, LEAST, PLACES, CHARACTERS = math.log(20), 2, 500_000, 3
 
 #: What a decoded span may hold: Latin letters, punctuation, signs, controls that a second decoding takes; other scripts only as runs.
@@ -135,7 +136,7 @@ class Habits:
     the same neighbours would be. The same table holds for all pairs, so the byte mapping that makes the corpus's usual places decides.
     """
 
-    counts: dict[str, int]
+    counts: Mapping[str, int]
     documents: int = 1
 
     def __post_init__(self) -> None:
@@ -372,8 +373,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def habits_of(bodies: DataFrame) -> Habits:
     """In how many of all bodies each place stands.
 
-    Places seen once tell nothing that an unseen one doesn't, so those in at least LEAST documents come to the driver, the most frequent PLACES at most: by
-    classes of frequency an eighth of an octave wide, so that as many are kept as fit.
+    Places seen once tell nothing that an unseen one doesn't, so all those in at least LEAST documents come to the driver. The most frequent are kept in a dict,
+    PLACES at most, by classes of frequency an eighth of an octave wide; the others are kept packed, none is left out.
     """
     counted = checkpointed(bodies.mapInArrow(_counted, "place string, n long").groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
     octave = F.floor(F.log2("n") * 8).cast("int")
@@ -384,7 +385,9 @@ def habits_of(bodies: DataFrame) -> Habits:
             break
         least = o
     kept = counted.where(octave >= least).toArrow()
-    habits = Habits(dict(zip(kept.column("place").to_pylist(), kept.column("n").to_pylist())), bodies.count())
+    rest = counted.where(octave < least).toArrow() if total > PLACES else kept.slice(0, 0)
+    counts = tiered(dict(zip(kept.column("place").to_pylist(), kept.column("n").to_pylist())), rest.column("place").to_pylist(), rest.column("n").to_numpy())
+    habits = Habits(counts, bodies.count())
     habits.shown()
     return habits
 
@@ -407,7 +410,7 @@ def _run(write: bool, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def _shared(bodies: DataFrame):
     habits = habits_of(bodies)
-    return bodies.sparkSession.sparkContext.broadcast((habits.counts, habits.documents, habits.tables))  # at most PLACES
+    return bodies.sparkSession.sparkContext.broadcast((habits.counts, habits.documents, habits.tables))  # PLACES in a dict, the others in 23 to 32 bytes each
 
 
 def garbled(docs: DataFrame) -> DataFrame:
