@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,18 +102,25 @@ def name_chunks(chunks: DataFrame) -> DataFrame:
     get a number from 2 in the order of chunks.
     """
     alone = F.count("*").over(Window.partitionBy("source_id")) == 1
-    s = slug("stem")
     _alone, _base, _n = (fresh(chunks, c) for c in ("_alone", "_base", "_n"))
-    rows = chunks.withColumn(_alone, alone).withColumn(_base, F.when(F.col(_alone), s).otherwise(F.concat(s, F.format_string("-p%03d-%03d", "first_page", "last_page"))))
+    rows = chunks.withColumn(_alone, alone)
+    rows = rows.withColumn(_base, _base_name(F.col(_alone)))
     nth = F.row_number().over(Window.partitionBy(_base, "source_id").orderBy("chunk_no"))
+    return with_names(rows.withColumn(_n, nth), F.col(_alone), F.col(_n)).drop(_alone, _base, _n)
+
+
+def _base_name(alone: Column) -> Column:
+    return F.when(alone, slug("stem")).otherwise(F.concat(slug("stem"), F.format_string("-p%03d-%03d", "first_page", "last_page")))
+
+
+def with_names(chunks: DataFrame, alone: Column, nth: Column) -> DataFrame:
+    """name_chunks of chunks of which it is known whether each is its source's only one, and its number among those with equal pages."""
     span = F.concat(F.col("first_page").cast("string"), F.lit("-"), F.col("last_page").cast("string"))
     return (
-        rows.withColumn(_n, nth)
-        .withColumn("name", F.when(F.col(_n) > 1, F.concat(_base, F.lit("-"), F.col(_n).cast("string"))).otherwise(F.col(_base)))
-        .withColumn("title", F.when(F.col(_alone), F.col("stem")).otherwise(F.concat("stem", F.lit(" (pages "), span, F.lit(")"))))
-        .withColumn("parent", F.when(~F.col(_alone), s))
-        .withColumn("pages", F.when(~F.col(_alone), span))
-        .drop(_alone, _base, _n)
+        chunks.withColumn("name", F.when(nth > 1, F.concat(_base_name(alone), F.lit("-"), nth.cast("string"))).otherwise(_base_name(alone)))
+        .withColumn("title", F.when(alone, F.col("stem")).otherwise(F.concat("stem", F.lit(" (pages "), span, F.lit(")"))))
+        .withColumn("parent", F.when(~alone, slug("stem")))
+        .withColumn("pages", F.when(~alone, span))
     )
 
 
@@ -129,20 +140,26 @@ def write_files(named: DataFrame, folder: str) -> None:
     """Write each row's `content` as `<name>.md`; for bundles that are read as files.
 
     Rows are written where they lie, so on a cluster the folder has to be one that all executors share, given as a URI or mounted on
-    each; a folder of one machine is refused there. A file is written whole or not at all, so that a task may run again.
+    each; a folder of one machine is refused there. A file is written whole or not at all, so that a task may run again. Of rows with the
+    same name, one stays.
     """
     master = named.sparkSession.sparkContext.master
     if "://" not in folder and not master.startswith("local") and not named.sparkSession.conf.get("corpuslens.shared.mount", None):
         raise ValueError(f"{folder}: on a cluster name the folder by a URI, or set corpuslens.shared.mount if it is mounted on all executors")
 
-    def run(rows) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = file_system(folder)
         system.create_dir(path, recursive=True)
-        for row in rows:
-            if not safe_name(row["name"]):
-                raise ValueError(f"unsafe name: {row['name']!r}")
-            with system.open_output_stream(f"{path}/{row['name']}.md.part") as f:
-                f.write(row["content"].encode())
-            system.move(f"{path}/{row['name']}.md.part", f"{path}/{row['name']}.md")
-
-    named.select("name", "content").foreachPartition(run)
+        part, written = f"{path}/{uuid.uuid4().hex}.part", 0  # a task's own: another one may write a file of the same name at the same time
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                if not safe_name(name):
+                    raise ValueError(f"unsafe name: {name!r}")
+                with system.open_output_stream(part) as f:
+                    f.write(content)
+                system.move(part, f"{path}/{name}.md")
+                written += 1
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["files"])
+
+    valid = named.select(F.make_valid_utf8("name").alias("name"), F.make_valid_utf8("content").cast("binary").alias("content"))
+    valid.mapInArrow(run, "files long").agg(F.sum("files")).collect()

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import EXTENSIONS, kind_of
-from corpuslens.operators.pages import chunk_images, clean_pages, pack_pages, select_images, split_pages
-from corpuslens.sources.bundle import name_chunks, render, stem_of, tags
+from corpuslens.operators.pages import chunk_sources, image_names, select_images
+from corpuslens.sources.bundle import render, stem_of, tags, with_names
 
 
 def _run(*command: str) -> bytes:
@@ -154,18 +154,16 @@ def to_documents(sources: DataFrame, prefix: str, timestamp: str, description: s
     """Rendered documents of extracted sources: `source_id, name, title, parent, pages, images, content`.
 
     Text read by OCR begins with its title, so that it can be found by it. strict_pages=False numbers pages after leading blank
-    ones; True keeps their numbers.
+    ones; True keeps their numbers. Texts are shuffled once, by source, when the names of images come to them, and not at all if they lie so already.
     """
-    good = sources.where("error IS NULL AND text IS NOT NULL")
-    raw = good.select("source_id", F.when(F.col("used_ocr"), F.concat("stem", F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("text"))
-    cleaned = clean_pages(split_pages(raw))
-    if not strict_pages:
-        seen = cleaned.where("trim(text) <> ''").groupBy("source_id").agg((F.min("page_no") - 1).alias("_blank"))
-        cleaned = cleaned.join(seen, "source_id").select("source_id", (F.col("page_no") - F.col("_blank")).alias("page_no"), "text").where("page_no > 0")
-    chunks = pack_pages(cleaned)
-    named = name_chunks(chunks.join(good.select("source_id", "stem", "file", "used_ocr"), "source_id"))
+    text = F.when(F.col("used_ocr"), F.concat("stem", F.lit("\n\n"), "text")).otherwise(F.col("text"))
+    good = sources.where("error IS NULL AND source_id IS NOT NULL").where(text.isNotNull())
     images = select_images(good.select("source_id", "stem", F.explode("images").alias("x")).select("source_id", "stem", "x.*"), stem="stem")
-    linked = chunk_images(named, images)
+    shown = images.where("name IS NOT NULL").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("page", "idx", "name"))).alias("_images"))
+    chunks = chunk_sources(good.select("source_id", "stem", "file", "used_ocr", text.alias("text")).join(shown, "source_id", "left"), strict_pages)
+    named = with_names(chunks, F.col("alone"), F.col("nth"))
+    inside = F.filter("_images", lambda x: F.col("alone") | x["page"].between(F.col("first_page"), F.col("last_page")))
+    linked = named.withColumn("_inside", inside).withColumn("images", F.when(F.size("_inside") > 0, image_names(F.col("_inside"))))
     full = linked.select("*", F.lit("technical-note").alias("doc_type"), F.lit(description).alias("description"), F.concat(F.lit(prefix.rstrip("/") + "/"), "file").alias("resource"), tags().alias("tags"), F.lit(timestamp).alias("timestamp"), F.col("text").alias("body"))
     return full.select("source_id", "name", "title", "parent", "pages", "images", render(full).alias("content"))
 

@@ -134,6 +134,18 @@ def test_files_are_written_whole_and_again(spark, tmp_path):
         bundle.write_files(spark.createDataFrame([("../a", "x")], "name string, content string"), str(tmp_path))
 
 
+def test_tasks_that_write_the_same_name_do_not_fail(spark, tmp_path):
+    docs = spark.range(4000, numPartitions=4).selectExpr("concat('n', id % 2) AS name", "concat('c', id % 2) AS content")
+    bundle.write_files(docs, str(tmp_path / "b"))
+    assert sorted((p.name, p.read_text()) for p in (tmp_path / "b").iterdir()) == [("n0.md", "c0"), ("n1.md", "c1")]
+
+
+def test_bytes_that_are_not_utf8_do_not_lose_a_document(spark, tmp_path):
+    docs = spark.sql("SELECT 'a' AS name, concat('x', cast(X'FF' AS STRING), 'y') AS content")
+    bundle.write_files(docs, str(tmp_path / "b"))
+    assert [r["content"] for r in bundle.read_bundle(spark, str(tmp_path / "b")).collect()] == ["x\ufffdy"]
+
+
 def test_files_that_are_not_taken_in_are_not_read(spark, tmp_path):
     folder_of(tmp_path, a__TXT="text", b__html="x" * 100)
     got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["content"]) for r in ingest.read_sources(spark, str(tmp_path)).collect()}
@@ -160,6 +172,20 @@ def test_extract_paths():
     assert "no" in ingest.extract("office", b"", blank).error
 
 
+def test_sources_are_read_once_for_texts_and_once_for_images(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    kinds = "source_id string, stem string, file string, text string, used_ocr boolean, images array<struct<page: int, idx: int, content: binary>>, error string"
+    sources = spark.createDataFrame([(f"s{i}", f"S {i}", f"{i}.txt", "one\ftwo", False, [(1, 0, b"i" * 20000)], None) for i in range(20)], kinds).mapInPandas(seen, kinds)
+    docs = ingest.to_documents(sources, "site", "")
+    assert {(d["name"], d["images"]) for d in docs.collect()} == {(f"s-{i}", f"[s-{i}-p001-1.png]") for i in range(20)} and read.value <= 40
+
+
 def test_ingest_end_to_end(spark, tmp_path):
     (tmp_path / "in").mkdir()
     folder_of(tmp_path / "in", bad__txt=b"\xff", empty__txt="  ", skip__html="x", scan__pdf="pdf")

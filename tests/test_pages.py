@@ -90,3 +90,21 @@ def test_images(spark):
     chunks = spark.createDataFrame([("A (x).y", 1, 1, 1, "clash"), ("A (x).y", 2, 2, 3, "clash"), ("b", 1, 9, 9, "clash")], "source_id string, chunk_no int, first_page int, last_page int, images string")
     linked = {(x["source_id"], x["chunk_no"]): x["images"] for x in P.chunk_images(chunks, chosen).collect()}
     assert linked == {("A (x).y", 1): "[a-xy-p001-1.png, a-xy-p001-2.png]", ("A (x).y", 2): None, ("b", 1): "[b-p001-1.png]"}
+
+
+def test_chunks_of_whole_sources_equal_the_steps(spark, rows):
+    r = random.Random(5)
+    lines = ["Robot  Manual", "ÖL\u00a0Kanal", "page 2 of 9", "1 Intro ..... 4", "", " ", "x" * 900, "ü" * 3000, "a\tb", "\u2003", "\r"]
+
+    def page():
+        middle = [r.choice([*lines, f"text {r.random()}"]) for _ in range(r.choice([0, 1, 5, 20, 60]))]
+        return "\n".join([*r.choice([[], ["Robot Manual"]]), *middle, *r.choice([[], [f"Page {r.randint(1, 9)}"], ["foot", ""]])]) + r.choice(["", "\n", "\r\n", "\n\n"])
+
+    data = [(f"s{i}", "\f".join(["", " ", "\n"][: r.randint(0, 3)] + [page() for _ in range(r.randint(0, 9))])) for i in range(60)] + [("null", None), ("empty", ""), ("blank", " \f\n")]
+    raw = spark.createDataFrame(data, "source_id string, text string")
+    got = P.chunk_sources(raw).select("source_id", "chunk_no", "first_page", "last_page", "text", "alone", "nth")
+    clean = P.clean_pages(P.split_pages(raw))
+    want = P.pack_pages(clean).selectExpr("*", "count(*) OVER (PARTITION BY source_id) = 1 AS alone", "row_number() OVER (PARTITION BY source_id, first_page, last_page ORDER BY chunk_no) AS nth")
+    assert rows(got) == rows(want) and {x[6] for x in rows(got)} > {1, 2}
+    later = clean.join(clean.where("trim(text) <> ''").groupBy("source_id").agg({"page_no": "min"}).toDF("source_id", "first"), "source_id").selectExpr("source_id", "page_no - first + 1 AS page_no", "text").where("page_no > 0")
+    assert rows(P.chunk_sources(raw, strict=False).drop("alone", "nth").select("source_id", "chunk_no", "first_page", "last_page", "text")) == rows(P.pack_pages(later))
