@@ -18,7 +18,7 @@ from corpuslens.operators.balanced import heavy_terms, term_totals
 from corpuslens.plans import service
 from corpuslens.plans.sql import SQL  # noqa: F401
 from corpuslens.sources import bundle, ingest
-from corpuslens.sources.tables import shared_folder, table
+from corpuslens.sources.tables import qualified, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -208,7 +208,7 @@ def ingest_summary(spark: SparkSession, root: str) -> DataFrame:
 
 def bundle_files(spark: SparkSession, root: str) -> DataFrame:
     """Documents of sources written as files of a bundle, and read from there."""
-    folder = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    folder = qualified(spark, f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}")
     made = ingest_documents(spark, root)
     bundle.write_files(made.select(F.replace("name", F.lit("#"), F.lit("-")).alias("name"), "content"), folder)
     return bundle.read_bundle(spark, folder).select("stem", "title", "doc_type", "resource", "parent", "pages", "body_start")

@@ -36,6 +36,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="corpuslens-checkpoint-")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """`folder` as the URI that Spark reads it by; a plain path is one of the session's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", uri)
+
+
 def settled(df: DataFrame, most_rows: int) -> DataFrame:
     """`df` computed once: as rows of the driver if there are at most so many, else written out by `checkpointed`."""
     rows = df.limit(most_rows + 1).toArrow()

@@ -134,6 +134,16 @@ def test_files_are_written_whole_and_again(spark, tmp_path):
         bundle.write_files(spark.createDataFrame([("../a", "x")], "name string, content string"), str(tmp_path))
 
 
+def test_bundles_of_a_shared_folder_without_scheme_are_written_by_its_uri(spark, tmp_path, monkeypatch):
+    from corpuslens.plans import catalog
+
+    named, write = [], bundle.write_files
+    monkeypatch.setattr(catalog, "shared_folder", lambda s: str(tmp_path))
+    monkeypatch.setattr(bundle, "write_files", lambda docs, folder: (named.append(folder), write(docs, folder)))
+    assert catalog.bundle_files(spark, "/root/testdata/sf0.001").count() == len(list(tmp_path.glob("bundle-*/*.md")))
+    assert [x.startswith(f"file://{tmp_path}/bundle-") for x in named] == [True]
+
+
 def test_tasks_that_write_the_same_name_do_not_fail(spark, tmp_path):
     docs = spark.range(4000, numPartitions=4).selectExpr("concat('n', id % 2) AS name", "concat('c', id % 2) AS content")
     bundle.write_files(docs, str(tmp_path / "b"))
